@@ -153,7 +153,7 @@ def remove_repeated_windows(docs: DataFrame, length: int = 35, id_col: str = "do
         return once.select("k", F.shiftrightunsigned("p", 32).alias("c"), place.alias("at")).groupBy("k", "c").agg(F.collect_list("at").alias(name))
 
     single = places(base.select("k", "c", "t").mapInArrow(_anchor_rows(length, gram), "a long, n long, k long, p long"), ["a"], "single")
-    known = base.join(single, ["k", "c"], "left")
-    alone = places(known.select("k", "c", "t", "single").mapInArrow(_window_rows(length, gram), "a long, b long, n long, k long, p long"), ["a", "b"], "alone")
+    known = base.join(single, ["k", "c"], "left")  # both readers take the same columns, so texts are shuffled once
+    alone = places(known.select("id", "k", "c", "t", "single").mapInArrow(_window_rows(length, gram), "a long, b long, n long, k long, p long"), ["a", "b"], "alone")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
     return known.join(alone, ["k", "c"], "left").select("id", "t", "single", "alone").mapInArrow(_removal_rows(length, gram, keep_text), schema)
