@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brook.llm import license_scan, substring_dedup, warc
+from brook.llm import license_scan, quality_rules, substring_dedup, warc
 from brook.llm._shared import shared_folder
 
 
@@ -28,5 +28,11 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeated_windows(table(spark, sf_dir, "documents"), length=35, keep_text=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_license_scan, op7_warc, op9_substring_dedup)}
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rules = quality_rules.learn_from(docs, table(spark, sf_dir, "labels"), sample=20_000)
+    return quality_rules.apply_rules(docs, rules)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_license_scan, op7_warc, op9_substring_dedup, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
