@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brook.llm import license_scan, quality_rules, substring_dedup, warc
+from brook.llm import license_scan, packing, quality_rules, substring_dedup, warc
 from brook.llm._shared import shared_folder
 
 
@@ -24,6 +24,17 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, path, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def tokenizer_paths() -> tuple[str, str]:
+    """The public byte-level vocabulary, as a tokenizer file and as ranks."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), *tokenizer_paths(), capacity=1024, end_id=2, keep_ids=False)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeated_windows(table(spark, sf_dir, "documents"), length=35, keep_text=False)
 
@@ -34,5 +45,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(docs, rules)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_license_scan, op7_warc, op9_substring_dedup, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_license_scan, op7_warc, op8_packing, op9_substring_dedup, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
