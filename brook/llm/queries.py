@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brook.llm import license_scan, packing, quality_rules, substring_dedup, warc
+from brook.llm import jaccard_join, license_scan, packing, quality_rules, substring_dedup, warc
 from brook.llm._shared import shared_folder
 
 
@@ -18,6 +18,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), shingle=5, similarity=75)
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "warc")
     warc.write_archives(warc.plan_records(table(spark, sf_dir, "pages")), path)
@@ -45,5 +49,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(docs, rules)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_license_scan, op7_warc, op8_packing, op9_substring_dedup, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_license_scan, op6_jaccard_join, op7_warc, op8_packing, op9_substring_dedup, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
