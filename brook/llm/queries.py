@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brook.llm import decontamination, jaccard_join, license_scan, packing, pii, quality_rules, substring_dedup, warc
+from brook.llm import decontamination, jaccard_join, license_scan, packing, pii, quality_rules, substring_dedup, toxicity, warc
 from brook.llm._shared import shared_folder
 
 
@@ -18,6 +18,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), edit_share=0.2, recall=0.98)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), sample=12_000))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_spans(table(spark, sf_dir, "documents")).drop("a", "b", "all", "gone")
 
@@ -57,5 +62,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(docs, rules)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op3_pii, op4_license_scan, op6_jaccard_join, op7_warc, op8_packing, op9_substring_dedup, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_pii, op4_license_scan, op6_jaccard_join, op7_warc, op8_packing, op9_substring_dedup, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
