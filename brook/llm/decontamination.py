@@ -169,7 +169,7 @@ def distances(items: np.ndarray, lengths: np.ndarray, texts: np.ndarray) -> tupl
     return last[np.arange(n), end], end
 
 
-def verify(h: np.ndarray, bounds: np.ndarray, starts: np.ndarray, ends: np.ndarray, owners: np.ndarray, plan: Plan) -> tuple[np.ndarray, ...]:
+def verify(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, owners: np.ndarray, plan: Plan) -> tuple[np.ndarray, ...]:
     """Exact distances of candidate stretches: edits, start and end word (positions in the run)."""
     edits, first, last = (np.zeros(len(starts), dtype=np.int64) for _ in range(3))
     for low in range(0, len(starts), 512):
@@ -238,55 +238,93 @@ def candidates(h: np.ndarray, end_of: np.ndarray, plan: Plan) -> tuple[np.ndarra
 SCHEMA = "doc_id long, item_id long, start_word long, end_word long, edits int, item_words int"
 
 
+class Leaks(NamedTuple):
+    """Of a run: documents and items, the best place of each pair (words of the document, end exclusive) and its edits."""
+
+    doc: np.ndarray
+    item: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    edits: np.ndarray
+
+
+def run_leaks(run: T.Run, plan: Plan) -> Leaks:
+    none = np.zeros(0, dtype=np.int64)
+    data = T.FOLD[run.data]
+    w = T.words(data, run.offsets, T.ALNUM)
+    h = T.word_hashes(data, w)
+    if not len(h):
+        return Leaks(none, none, none, none, none)
+    start, own = candidates(h, w.first[1:][w.doc], plan)
+    if not len(start):
+        return Leaks(none, none, none, none, none)
+    sizes = np.array([len(x) for _, x in plan.items])
+    # windows of an item that start close by are verified as one stretch
+    doc, own, block = np.unique(np.stack([w.doc[start], own, start // np.maximum(4, sizes[own] // 4)]), axis=1)
+    step, most = np.maximum(4, sizes[own] // 4), (sizes[own] * plan.edit_share).astype(np.int64)
+    lo = np.maximum(block * step - most, w.first[doc])
+    hi = np.minimum((block + 1) * step + sizes[own] + most, w.first[doc + 1])
+    edits, first, last = verify(h, lo, hi, own, plan)
+    good = np.flatnonzero(edits <= most)
+    good = good[np.lexsort((first[good], edits[good], own[good], doc[good]))]
+    new = np.ones(len(good), dtype=bool)
+    new[1:] = (doc[good][1:] != doc[good][:-1]) | (own[good][1:] != own[good][:-1])
+    best = good[new]
+    base = w.first[doc[best]]
+    return Leaks(doc[best], own[best], first[best] - base, last[best] - base, edits[best])
+
+
 def _rows(shared) -> Callable:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan: Plan = shared.value
+        items = shared.value.items
         for b in batches:
-            ids = b.column("id")
             for run in T.runs(b.column("t")):
-                data = T.FOLD[run.data]
-                w = T.words(data, run.offsets, T.ALNUM)
-                h = T.word_hashes(data, w)
-                if not len(h):
-                    continue
-                end_of, begin_of = w.first[1:][w.doc], w.first[:-1][w.doc]
-                start, own = candidates(h, end_of, plan)
-                if not len(start):
-                    continue
-                length = np.array([len(x) for _, x in plan.items])[own]
-                # windows of an item that start close by are verified as one stretch
-                step = np.maximum(4, length // 4)
-                near = np.unique(np.stack([w.doc[start], own, start // step]), axis=1)
-                doc, own, block = near
-                length = np.array([len(x) for _, x in plan.items])[own]
-                step, edits = np.maximum(4, length // 4), (length * plan.edit_share).astype(np.int64)
-                lo = np.maximum(block * step - edits, w.first[doc])
-                hi = np.minimum((block + 1) * step + length + edits, w.first[doc + 1])
-                found, first, last = verify(h, end_of, lo, hi, own, plan)
-                good = np.flatnonzero(found <= edits)
-                good = good[np.lexsort((first[good], found[good], own[good], doc[good]))]
-                pair = np.stack([doc[good], own[good]])
-                new = np.ones(len(good), dtype=bool)
-                new[1:] = (pair[:, 1:] != pair[:, :-1]).any(axis=0)
-                best = good[new]
-                base = begin_of[np.minimum(first[best], len(h) - 1)]
-                names = pa.array([plan.items[o][0] for o in own[best]], pa.int64())
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(run.low + doc[best])), names, pa.array(first[best] - base), pa.array(last[best] - base), pa.array(found[best].astype(np.int32)), pa.array(length[best].astype(np.int32))], [x.split()[0] for x in SCHEMA.split(", ")])
+                x = run_leaks(run, shared.value)
+                names, sizes = [items[o][0] for o in x.item], [len(items[o][1]) for o in x.item]
+                columns = [b.column("id").take(pa.array(run.low + x.doc)), pa.array(names, pa.int64()), pa.array(x.first), pa.array(x.last), pa.array(x.edits.astype(np.int32)), pa.array(sizes, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SCHEMA.split(", ")])
 
     return rows
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.2, samples: int = 4, recall: float = 0.98, least_words: int = 8, block_words: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row per text row and item that it holds: the best place (words from 0, end exclusive) and its edits."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+def _clean_rows(shared, names: list[str]) -> Callable:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = np.ones(b.num_rows, dtype=bool)
+            for run in T.runs(b.column(len(names))):
+                keep[run.low + run_leaks(run, shared.value).doc] = False
+            mask = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([b.column(k).filter(mask) for k in range(len(names))], names)
+
+    return rows
+
+
+def plans(benchmark: DataFrame, edit_share: float, samples: int, recall: float, least_words: int, block_words: int, item_col: str, item_text_col: str) -> Iterator[Plan]:
+    """A plan for each block of items."""
     items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).cast("string").alias("t")).where("t is not null")
     size = items.agg(F.sum(F.size(F.split("t", r"\s+")))).first()[0] or 0
     blocks = -(-size // block_words)
-    found = spark.createDataFrame([], SCHEMA)
     for block in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == block)
         plan = make_plan(sorted((tuple(r) for r in mine.collect()), key=str), edit_share, samples, recall, least_words)
         if plan.items:
-            found = found.union(texts.mapInArrow(_rows(spark.sparkContext.broadcast(plan)), SCHEMA))
+            yield plan
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.2, samples: int = 4, recall: float = 0.98, least_words: int = 8, block_words: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """One row per text row and item that it holds: the best place (words from 0, end exclusive) and its edits."""
+    spark = docs.sparkSession
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    found = spark.createDataFrame([], SCHEMA)
+    for plan in plans(benchmark, edit_share, samples, recall, least_words, block_words, item_col, item_text_col):
+        found = found.union(texts.mapInArrow(_rows(spark.sparkContext.broadcast(plan)), SCHEMA))
     return found
+
+
+def drop_leaking(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.2, samples: int = 4, recall: float = 0.98, least_words: int = 8, block_words: int = 1 << 20, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The input rows that hold no item, with all their columns as they are."""
+    out, names = docs, docs.columns
+    for plan in plans(benchmark, edit_share, samples, recall, least_words, block_words, item_col, item_text_col):
+        shared = docs.sparkSession.sparkContext.broadcast(plan)
+        out = out.select("*", F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t")).mapInArrow(_clean_rows(shared, names), docs.schema)
+    return out

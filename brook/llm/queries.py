@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brook.llm import decontamination, jaccard_join, license_scan, packing, pii, quality_rules, substring_dedup, toxicity, warc
+from brook.llm import decontamination, jaccard_join, license_scan, packing, pii, quality_classifier, quality_rules, substring_dedup, toxicity, warc
 from brook.llm._shared import shared_folder
 
 
@@ -31,6 +31,12 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_classifier.train(docs, table(spark, sf_dir, "labels"), sample=8_000, pool=8_000)
+    return quality_classifier.score(docs, model)
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), shingle=5, similarity=75)
 
@@ -62,5 +68,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(docs, rules)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_pii, op4_license_scan, op6_jaccard_join, op7_warc, op8_packing, op9_substring_dedup, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_pii, op4_license_scan, op5_quality_classifier, op6_jaccard_join, op7_warc, op8_packing, op9_substring_dedup, op10_quality_rules)}
 ORACLES: dict[str, str] = {}

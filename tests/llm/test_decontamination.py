@@ -49,7 +49,7 @@ def test_distances(item, text):
     assert edits[0] == least_edits(item, text)
     h = np.array([*text, 0], dtype=np.uint64)
     plan = D.Plan([(1, np.array(item, dtype=np.uint64))], [], np.zeros(1), 1.0)
-    got, first, last = D.verify(h, h, np.array([0]), np.array([len(text)]), np.array([0]), plan)
+    got, first, last = D.verify(h, np.array([0]), np.array([len(text)]), np.array([0]), plan)
     assert got[0] == least_edits(item, text) and 0 <= first[0] <= last[0] <= width
     assert least_edits(item, text[first[0] : last[0]]) == got[0]
 
@@ -85,6 +85,17 @@ def test_edges(spark):
     assert leaks(spark, [], items) == [] and leaks(spark, docs, []) == [] and leaks(spark, docs, [(1, None)]) == []
 
 
+def test_clean_rows(spark):
+    item = "one two three four five six seven eight nine ten"
+    rows = [(1, item, "a"), (2, None, "b"), (2, "", None), (None, "free of it", "c"), (3, "x " + item.title(), "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    bench = spark.createDataFrame([(1, item), (2, None)], "item_id long, text string")
+    for words in (1 << 20, 3):
+        kept = D.drop_leaking(docs, bench, block_words=words)
+        assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=str) == sorted(rows[1:4], key=str)
+    assert D.drop_leaking(docs, bench.limit(0)).count() == 5
+
+
 def test_blocks(spark):
     rng = random.Random(5)
     items = [(i, " ".join(f"b{rng.randrange(900)}" for _ in range(20))) for i in range(12)]
