@@ -135,18 +135,22 @@ def _thinned(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column
 def disclosing_terms(found: DataFrame, texts: DataFrame, support: int, generalise: float, remove: float) -> DataFrame:
     """(entity, term, share, removed) above the thresholds.  found: a, b and near; texts: t, a, b of the whole corpus."""
     near = found.select("a", "b", F.explode("near").alias("x")).select("a", "b", "x.entity", "x.terms")
-    pairs = near.select("a", "b", "entity", F.explode("terms").alias("term")).distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together"))
-    pairs = kept(pairs.where(F.col("together") >= support), "pairs")
+    seen = near.select("a", "b", "entity", F.explode("terms").alias("term")).distinct()
+    pairs = seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together")).where(F.col("together") >= support)
     entities = near.select("a", "b", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    total = found.select("a", "b").distinct().groupBy().agg(F.count(F.lit(1)).alias("total"))  # one row
+    information = F.greatest(F.log2(F.col("total") / F.col("n_entity")), F.lit(1e-9))
+    share = lambda n: F.log2(F.col("together") * F.col("total") / (F.col(n) * F.col("n_entity"))) / information
+    # a term stands in the corpus at least as often as near entities: what that rules out needs no count of the corpus
+    near_any = seen.select("a", "b", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
+    pairs = pairs.join(entities, "entity").join(near_any, "term").join(F.broadcast(total)).where(share("n_near") >= generalise)
+    pairs = kept(pairs.select("entity", "term", "together", "n_entity", "total"), "pairs")
     words = texts.select("a", "b", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(TERM), F.lit(0)))).alias("term"))
     words = _thinned(words, F.xxhash64("term"), pairs, F.xxhash64("term"))
     known = pairs.select("term").distinct()
     corpus = words.join(known, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    total = found.select("a", "b").distinct().groupBy().agg(F.count(F.lit(1)).alias("total"))
-    judged = pairs.join(entities, "entity").join(corpus, "term").join(F.broadcast(total))  # one row
-    information = F.greatest(F.log2(F.col("total") / F.col("n_entity")), F.lit(1e-9))
-    share = F.log2(F.col("together") * F.col("total") / (F.col("n_term") * F.col("n_entity"))) / information
-    return judged.select("entity", "term", share.alias("share")).where(F.col("share") >= generalise).withColumn("removed", F.col("share") >= remove)
+    judged = pairs.join(corpus, "term")
+    return judged.select("entity", "term", share("n_term").alias("share")).where(F.col("share") >= generalise).withColumn("removed", F.col("share") >= remove)
 
 
 def find_spans(docs: DataFrame, support: int = 3, generalise: float = 0.9, remove: float = 0.97, reach: int = 120, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
