@@ -40,7 +40,7 @@ PATTERNS = {
 }
 LETTERS = r"\p{L}\p{M}'-"
 TERM = rf"\p{{L}}[{LETTERS}]{{2,}}+"
-BUCKETS = 1 << 17
+BUCKETS = 1 << 20
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
