@@ -11,8 +11,9 @@ between classes only; all of them count, none is sampled or capped:
 3. A global order sorts shingles by count level, then by a hash; each order has a hash of its own.
    Linked sets share a shingle among the first ``n - ceil(similarity * n) + 1`` of *each* order
    (prefix filter).  Documents whose prefix holds nothing that others have leave here.
-4. Candidates share a prefix shingle under one order and must share one under every other order too
-   before their sets are compared exactly.
+4. Candidates share a prefix shingle under one order, early enough for the intersection they need, and
+   must share one under every other order too; counts by ranges of the hash bound the intersection
+   once more.  Only then are their sets compared exactly.
    Only classes of different components so far are compared: first each class with one pivot of every
    prefix shingle, an order a round (so a group of near copies is joined by as many pairs as it has
    prefix shingles, not by all its pairs), then all pairs that still lie in different components.
@@ -21,7 +22,8 @@ The number of links is not counted: that would need all pairs of a group.
 
 Null text, or no words: an empty set, linked with nothing.  Fewer words than a shingle: the sequence
 is the only one.  Null ids: the row takes part, and its group's id is the least id that is not null,
-or null.  Rows that repeat an id are told apart by their sets.  Other columns are not looked at.
+or null.  Rows that repeat an id with other texts
+count as one document: their groups are one.  Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ from brook.llm import _text as T
 from brook.llm._shared import kept
 
 ORDERS = 3
+#: Ranges of the hash for which a set says how many of its shingles others may have.
+RANGES = 64
 #: A shingle's level is the number of these counts that it reaches; one bitmap of 2**bits for each.
 LEVELS = ((2, 27), (16, 24), (128, 22), (1024, 20), (8192, 18))
 REGIONS_MOST = 1 << 15
@@ -92,7 +96,8 @@ def _signature_rows(shingle: int) -> Callable:
                 doc, token = run_sets(run, shingle)
                 first = np.searchsorted(doc, np.arange(run.high - run.low + 1))
                 one, two = signatures(token, first)
-                yield pa.RecordBatch.from_arrays([ids.slice(run.low, run.high - run.low), pa.array(np.diff(first)), pa.array(one), pa.array(two)], ["id", "n", "s1", "s2"])
+                n = run.high - run.low
+                yield pa.RecordBatch.from_arrays([ids.slice(run.low, n), b.column("h").slice(run.low, n), pa.array(np.diff(first)), pa.array(one), pa.array(two)], ["id", "h", "n", "s1", "s2"])
 
     return rows
 
@@ -177,7 +182,8 @@ def prefix_length(n: np.ndarray, similarity: int) -> np.ndarray:
 
 def prefixes(doc: np.ndarray, token: np.ndarray, level: np.ndarray, n: np.ndarray, similarity: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Documents and shingles of the prefixes under order k, without shingles that no other document has."""
-    order = np.lexsort((T.mix(token ^ (SHORT * np.uint64(k + 2))), level, doc))
+    rank = level.astype(np.uint64) << np.uint64(61) | T.mix(token ^ (SHORT * np.uint64(k + 2))) >> np.uint64(3)
+    order = np.lexsort((rank, doc))
     first = np.cumsum(n) - n
     place = np.arange(len(doc)) - first[doc]
     inside = (place < prefix_length(n, similarity)[doc]) & (level[order] > 0)
@@ -194,6 +200,11 @@ def _candidate_rows(shingle: int, similarity: int, maps) -> Callable:
                 n = np.bincount(doc, minlength=run.high - run.low)
                 level = levels_of(token, maps.value)
                 own_only = np.bincount(doc[level == 0], minlength=len(n))
+                spread = np.bincount(doc[level > 0] * RANGES + (token[level > 0] >> np.uint64(58)).astype(np.int64), minlength=len(n) * RANGES).reshape(-1, RANGES)
+                # a linked set has at least this share of its shingles in common with another
+                n = np.where(100 * (n - own_only) >= similarity * n, n, 0)
+                keep = n[doc] > 0
+                doc, token, level = doc[keep], token[keep], level[keep]
                 found = [prefixes(doc, token, level, n, similarity, k) for k in range(ORDERS)]
                 some = np.flatnonzero(np.all([np.bincount(d, minlength=len(n)) > 0 for d, _ in found], axis=0))
                 first = np.concatenate([[0], np.cumsum(n)])
@@ -203,8 +214,9 @@ def _candidate_rows(shingle: int, similarity: int, maps) -> Callable:
                     keep = np.isin(d, some)
                     lists.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(at[1] - at[0])]).astype(np.int32)), pa.array(t[keep].view(np.int64))))
                 sets = pa.array([token[first[i] : first[i + 1]].tobytes() for i in some], pa.binary())
+                counts = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * RANGES), pa.array(spread[some].astype(np.int32).ravel()))
                 own = np.where(absent[run.low + some], surrogates(token, first)[some], ids[run.low + some])
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n[some]), pa.array(own_only[some]), sets, *lists], ["id", "n", "u", "s", *(f"p{k}" for k in range(ORDERS))])
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n[some]), pa.array(own_only[some]), counts, sets, *lists], ["id", "n", "u", "c", "s", *(f"p{k}" for k in range(ORDERS))])
 
     return rows
 
@@ -277,10 +289,14 @@ class Join:
         return self.pairs(rows.join(other, "token").where("id < other"))
 
     def link(self, pairs: DataFrame) -> None:
-        """Keep pairs that share a prefix shingle under every order, compare their sets, and merge components."""
+        """Keep pairs that share a prefix shingle under every order, compare their sets, and merge components.
+
+        No intersection is larger than the sum over hash ranges of what either set has there that others may have."""
         names = [f"p{k}" for k in range(ORDERS)]
-        side = lambda x: self.candidates.select(F.col("id").alias(x), *(F.col(p).alias(p + x) for p in names))
+        side = lambda x: self.candidates.select(F.col("id").alias(x), F.col("n").alias("n" + x), F.col("c").alias("c" + x), *(F.col(p).alias(p + x) for p in names))
         near = pairs.join(side("a"), "a").join(side("b"), "b")
+        most = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
+        near = near.where((100 + self.similarity) * most >= self.similarity * (F.col("na") + F.col("nb")))
         for p in names:
             near = near.where(F.arrays_overlap(p + "a", p + "b"))
         near = kept(near.select("a", "b"), "near")
@@ -295,24 +311,41 @@ class Join:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, class_id (least id with an equal set)."""
+    """One row per input row: doc_id, n_shingles, component_id, class_id (least id with an equal set), text_hash."""
+    out = _grouped(docs, shingle, similarity, id_col, text_col)
+    real = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
+    alone = F.col("class").isNull()
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(real("comp")).alias("component_id"), F.when(alone, F.col("id")).otherwise(real("class")).alias("class_id"), F.col("h").alias("text_hash"))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input's rows, all columns as they are, but one document for each group: that of least id, then of least text hash.
+
+    Texts without words are in no group and stay; rows with equal id and text are one document."""
+    out = _grouped(docs, shingle, similarity, id_col, text_col)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("v")
+    winners = out.where("n > 0").groupBy("comp").agg(first).select("v.id", "v.h")
+    winners = winners.union(out.where("n = 0").select("id", "h").distinct()).select(F.col("id").alias("_id"), F.col("h").alias("_wh"))
+    rows = docs.withColumn("_h", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    rows = rows.join(winners, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_wh")), "left_semi")
+    return rows.dropDuplicates([id_col, "_h"]).drop("_h")
+
+
+def _grouped(docs: DataFrame, shingle: int, similarity: int, id_col: str, text_col: str) -> DataFrame:
+    """id, h, n of each row, and the numbers of its class and component (NO_ID and more: no row has an id)."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    signed = kept(texts.mapInArrow(_signature_rows(shingle), "id long, n long, s1 long, s2 long"), "signatures")
+    signed = kept(texts.select("id", "t", F.xxhash64("t").alias("h")).mapInArrow(_signature_rows(shingle), "id long, h long, n long, s1 long, s2 long"), "signatures")
     surrogate = F.lit(NO_ID) + F.col("s1").bitwiseAND(NO_ID - 1)
     classes = kept(signed.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.coalesce("id", surrogate)).alias("class")), "classes")
     total = signed.agg(F.sum("n")).first()[0] or 0
     maps = spark.sparkContext.broadcast(count_levels(texts, shingle, total))
     lists = ", ".join(f"p{k} array<bigint>" for k in range(ORDERS))
-    found = texts.mapInArrow(_candidate_rows(shingle, similarity, maps), f"id long, n long, u long, s binary, {lists}")
+    found = texts.mapInArrow(_candidate_rows(shingle, similarity, maps), f"id long, n long, u long, c array<int>, s binary, {lists}")
     join = Join(kept(found, "candidates"), classes.select(F.col("class").alias("id")), similarity)
     for k in range(ORDERS):
         join.link(join.pivots(k))
     join.link(join.all_left())
     merged = join.comps.where("id != comp").select(F.col("id").alias("class"), "comp")
     known = classes.join(merged, "class", "left").select("s1", "s2", "n", "class", F.coalesce("comp", "class").alias("comp"))
-    real = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
-    out = signed.join(known, ["s1", "s2", "n"], "left")
-    alone = F.col("class").isNull()
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(real("comp")).alias("component_id"), F.when(alone, F.col("id")).otherwise(real("class")).alias("class_id"))
-
+    return signed.join(known, ["s1", "s2", "n"], "left").select("id", "h", "n", "class", "comp")

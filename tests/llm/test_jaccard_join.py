@@ -59,6 +59,20 @@ def test_edges(spark):
     assert result(spark, rows) == brute(rows)
 
 
+def test_keep_one(spark):
+    base = " ".join(f"b{i}" for i in range(40))
+    rows = [(5, base, "x"), (3, base.upper(), "y"), (4, base + " more", None), (None, base, "n"), (7, None, "e"), (8, "", "e"), (9, "a b", "s"), (2, "c d", "s"), (9, "a b", "s"), (None, "only here", "n"), (3, "other text of the same id", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h string")
+    kept = J.keep_one(df)
+    assert kept.columns == df.columns
+    want = [(7, None, "e"), (8, "", "e"), (9, "a b", "s"), (2, "c d", "s"), (None, "only here", "n")]
+    got = list(map(tuple, kept.collect()))
+    three = [r for r in got if r[0] == 3]  # its two texts count as one document
+    assert len(three) == 1 and three[0] in rows
+    assert sorted((r for r in got if r[0] != 3), key=str) == sorted(want, key=str)
+    assert J.keep_one(df.limit(0)).collect() == []
+
+
 def test_empty(spark):
     assert result(spark, []) == []
 
