@@ -6,14 +6,17 @@ that and the longest single document.  All arithmetic is modulo 2**64.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 BASE = np.uint64(0x9E3779B97F4A7C15)
 WINDOW_BASE = np.uint64(0xD6E8FEB86659FD93)
 OTHER_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -47,6 +50,27 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def release() -> None:
+    """Give free memory back: a worker waits for its next task beside others that need it."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every system's C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(rows: Callable) -> Callable:
+    """A function over batches that releases memory at its end."""
+
+    @functools.wraps(rows)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from rows(batches)
+        finally:
+            release()
+
+    return run
+
+
 def _table(excluded: bytes) -> np.ndarray:
     t = np.ones(256, dtype=bool)
     t[list(excluded)] = False

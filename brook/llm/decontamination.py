@@ -275,6 +275,7 @@ def run_leaks(run: T.Run, plan: Plan) -> Leaks:
 
 
 def _rows(shared) -> Callable:
+    @T.lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value.items
         for b in batches:
@@ -288,6 +289,7 @@ def _rows(shared) -> Callable:
 
 
 def _clean_rows(shared, names: list[str]) -> Callable:
+    @T.lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = np.ones(b.num_rows, dtype=bool)

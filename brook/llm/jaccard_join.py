@@ -89,6 +89,7 @@ def surrogates(token: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _signature_rows(shingle: int) -> Callable:
+    @T.lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column("id")
@@ -108,6 +109,7 @@ def _signature_rows(shingle: int) -> Callable:
 def _region_rows(shingle: int, region_bits: int) -> Callable:
     """For each run and region of the hash range: shingles (their next 32 bits) and in how many documents of the run."""
 
+    @T.lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for run in T.runs(b.column("t")):
@@ -136,6 +138,7 @@ def _level_rows(region_bits: int) -> Callable:
             out.append(np.packbits(flag, bitorder="little").tobytes())
         return pa.RecordBatch.from_arrays([pa.array([region] * len(LEVELS), pa.int32()), pa.array(range(len(LEVELS)), pa.int32()), pa.array(out, pa.binary())], ["region", "level", "bits"])
 
+    @T.lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, keys, counts = None, [], []
         for b in batches:  # sorted by region
@@ -158,7 +161,7 @@ def count_levels(texts: DataFrame, shingle: int, total: int) -> list[np.ndarray]
     counted = texts.select("t").mapInArrow(_region_rows(shingle, region_bits), "region int, keys binary, counts binary")
     levels = counted.repartition("region").sortWithinPartitions("region").mapInArrow(_level_rows(region_bits), "region int, level int, bits binary")
     maps = [np.zeros((1 << bits) // 8, dtype=np.uint8) for _, bits in LEVELS]
-    for r in levels.toLocalIterator():
+    for r in levels.collect():  # as large as the bitmaps
         part = np.frombuffer(r["bits"], dtype=np.uint8)
         maps[r["level"]][r["region"] * len(part) : (r["region"] + 1) * len(part)] = part
     return maps
@@ -191,6 +194,7 @@ def prefixes(doc: np.ndarray, token: np.ndarray, level: np.ndarray, n: np.ndarra
 
 
 def _candidate_rows(shingle: int, similarity: int, maps) -> Callable:
+    @T.lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             given = b.column("id")
@@ -225,6 +229,7 @@ def _candidate_rows(shingle: int, similarity: int, maps) -> Callable:
 
 
 def _link_rows(similarity: int) -> Callable:
+    @T.lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             left, right = b.column("sa"), b.column("sb")
@@ -340,6 +345,7 @@ def _grouped(docs: DataFrame, shingle: int, similarity: int, id_col: str, text_c
     classes = kept(signed.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.coalesce("id", surrogate)).alias("class")), "classes")
     total = signed.agg(F.sum("n")).first()[0] or 0
     maps = spark.sparkContext.broadcast(count_levels(texts, shingle, total))
+    T.release()
     lists = ", ".join(f"p{k} array<bigint>" for k in range(ORDERS))
     found = texts.mapInArrow(_candidate_rows(shingle, similarity, maps), f"id long, n long, u long, c array<int>, s binary, {lists}")
     join = Join(kept(found, "candidates"), classes.select(F.col("class").alias("id")), similarity)

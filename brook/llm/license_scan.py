@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brook.llm import _text as T
+
 # Phrases of the contract and their labels.
 BASE_PHRASES = {
     "gnu general public license": "gpl",
@@ -156,6 +158,7 @@ def scan(text: str) -> tuple:
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, permissive boolean"
 
 
+@T.lean
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.bool_()]
     for b in batches:

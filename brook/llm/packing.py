@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from brook.llm import _text as T
 from brook.llm._shared import kept
 
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long"
@@ -70,6 +71,7 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def _piece_rows(tokenizer_path: str, ranks_path: str | None, capacity: int, end_id: int, keep_ids: bool) -> Callable:
+    @T.lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -156,6 +158,7 @@ def plan(histogram: dict[int, int], capacity: int, plan_items: int) -> dict[str,
 
 
 def _placed_rows(runs, columns: list[str]) -> Callable:
+    @T.lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = runs.value
         key = (p["length"] << np.int64(48)) | p["first"]

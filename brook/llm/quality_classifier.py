@@ -169,6 +169,7 @@ def _inputs(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
     return [F.col(id_col).cast("long").alias("id"), held_out(id_col).alias("h"), text, has("lang", "string"), has("source", "string"), has("n_chars", "double")]
 
 
+@T.lean
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         metadata = batch_metadata(b)
@@ -180,6 +181,7 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _score_rows(shared) -> Callable:
+    @T.lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             metadata = batch_metadata(b)
@@ -205,6 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8_000, pool: int = 8
     if not len(got):
         return Model([], np.zeros(0), np.zeros(0), np.zeros(0), np.zeros((2, 2)))
     key = np.array([zlib.crc32(row.tobytes()) for row in x])  # copies stay together
+    T.release()
     return co_train(x[:, : len(CONTENT)], x[:, len(CONTENT) :], got["y"].to_numpy(), key, rounds, sure, each_round)
 
 
@@ -220,6 +223,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str
     shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
     side = ["id", "h", "t", "lang", "source", "n_chars"]
 
+    @T.lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             inside = b.column(b.num_columns - 1)

@@ -72,6 +72,7 @@ def _marked(run: T.Run, w: T.Words, lists: tuple[np.ndarray, np.ndarray]) -> np.
 
 
 def _anchor_rows(length: int, gram: int) -> Callable:
+    @T.lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, crc = b.column("k").to_numpy(), b.column("c").to_numpy()
@@ -88,6 +89,7 @@ def _anchor_rows(length: int, gram: int) -> Callable:
 
 
 def _window_rows(length: int, gram: int) -> Callable:
+    @T.lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, crc, singles = b.column("k").to_numpy(), b.column("c").to_numpy(), _lists(b.column("single"))
@@ -105,6 +107,7 @@ def _window_rows(length: int, gram: int) -> Callable:
 
 
 def _removal_rows(length: int, gram: int, keep_text: bool) -> Callable:
+    @T.lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             singles, alone = _lists(b.column("single")), _lists(b.column("alone"))

@@ -65,6 +65,7 @@ def distinct(doc: np.ndarray, term: np.ndarray, terms: int) -> tuple[np.ndarray,
     return both // terms, both % terms
 
 
+@T.lean
 def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for run in T.runs(b.column("t")):
@@ -206,6 +207,7 @@ def hash_of(terms: bytes) -> int:
 
 
 def _score_rows(shared) -> Callable:
+    @T.lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Machine = shared.value
         for b in batches:
