@@ -141,3 +141,18 @@ def select(records: DataFrame, attributes: list[str] | None = None, where: Condi
     records: a stream's table with ``_id`` and ``_ts``.  The rows come newest first; nulls match nothing."""
     time = time if time is not None else Period.until(now or datetime.now(timezone.utc))
     return project(newest(matching(records, where, time), k), attributes)
+
+
+def as_lines(records: DataFrame) -> DataFrame:
+    """Records as text: values between commas, nulls empty, locations as (lat,lng) or (n,s,e,w), lists between spaces."""
+
+    def shown(f: ST.StructField) -> Column:
+        c = F.col(f.name)
+        if is_geo(f.dataType):
+            c = geo.text(c)
+        elif isinstance(f.dataType, ST.ArrayType):
+            inner = geo.text if is_geo(f.dataType.elementType) else lambda x: x.cast("string")
+            c = F.array_join(F.transform(c, inner), " ")
+        return F.coalesce(c.cast("string"), F.lit(""))
+
+    return records.select(F.concat_ws(",", *(shown(f) for f in records.schema)).alias("value"))

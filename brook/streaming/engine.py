@@ -187,6 +187,14 @@ class Engine:
         q = self.queries.get(stream.lower())
         return "paused" if q is None else "running" if q.isActive else "failed" if q.exception() else "paused"
 
+    def progress(self, stream: str) -> dict:
+        """Rows of the last batch, of all batches, and of each index."""
+        e, q = self._entry(stream), self.queries.get(stream.lower())
+        last = q.lastProgress if q else None
+        schema = self._index_schema(stream)
+        sizes = {x["name"]: self._read(self._index_folder(stream, x), schema).count() for x in e["indexes"]}
+        return {"last_batch": last["numInputRows"] if last else 0, "total": self.records(stream).count(), "indexes": sizes}
+
     def show(self, stream: str, on: bool = True) -> None:
         """Print what each batch takes in, or stop to."""
         self._entry(stream)
@@ -250,6 +258,9 @@ class Engine:
         box, rows, cols = x["grid"]
         return geo.Grid(geo.Box(*box), rows, cols)
 
+    def _index_schema(self, stream: str) -> ST.StructType:
+        return ST.StructType([*self.schema(stream), ST.StructField("_place", ST.IntegerType())])
+
     def _index_folder(self, stream: str, x: dict) -> str:
         return self._folder(stream, f"index/{x['name']}")
 
@@ -269,7 +280,7 @@ class Engine:
         """Records from the places of an active index that can match, and from batches that it doesn't have.  Hash before grid."""
         needed = list(where.required()) if where else []
         usable = [x for x in self._entry(stream)["indexes"] if x["active"] and x["upto"] >= 0]
-        schema = ST.StructType([f for f in self.schema(stream) if f.name not in ("_batch", "_date")] + [self.schema(stream)["_batch"], self.schema(stream)["_date"], ST.StructField("_place", ST.IntegerType())])
+        schema = self._index_schema(stream)
         for x in sorted(usable, key=lambda x: x["kind"] != "hash"):
             for p in needed:
                 if p.attribute.lower() != x["attribute"]:

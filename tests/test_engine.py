@@ -81,6 +81,7 @@ def test_indexes_never_change_an_answer(spark, engine, tmp_path):
     assert answers(engine) == more
     feed(engine, tmp_path, 260, 270)
     assert engine.records("posts").count() == 270
+    assert engine.progress("posts")["total"] == 270 and engine.progress("posts")["indexes"]["byuser"] == 260
     engine.drop_index("posts", "small")
     assert engine.desc("posts").count() == 4
     found = engine.by_id("posts", engine.records("posts").where("id = 5").first()._id).collect()

@@ -170,3 +170,8 @@ def test_layouts(spark, posts):
     assert [r.miles for r in near] == sorted(r.miles for r in near) and len(near) == 5
     empty = posts.limit(0)
     assert layout.postings(empty, values.keys(F.col("tags"), True)).count() == layout.oldest_segments(empty, 3, 1).count() == layout.keep_newest(empty, "user", 1).count() == 0
+
+
+def test_lines(spark, posts):
+    got = [r.value for r in S.as_lines(S.select(posts, ["user", "kind", "place", "tags"], time=ALL, k=2)).collect()]
+    assert got == ["4,a,(5.0,-3.0),", "3,,(4.0,-4.0),k2 all"]
