@@ -117,7 +117,7 @@ def _region_rows(shingle: int, region_bits: int) -> Callable:
                 key, count = np.unique(token >> np.uint64(32 - region_bits), return_counts=True)
                 region = key >> np.uint64(32)
                 at = np.flatnonzero(np.diff(region, prepend=np.uint64(1 << 40)))
-                ends = [*at[1:], len(key)]
+                ends = [*at[1:], len(key)][: len(at)]
                 low, count = key.astype("<u4"), np.minimum(count, 65535).astype("<u2")
                 yield pa.RecordBatch.from_arrays([pa.array(region[at].astype(np.int32)), pa.array([low[i:j].tobytes() for i, j in zip(at, ends, strict=True)], pa.binary()), pa.array([count[i:j].tobytes() for i, j in zip(at, ends, strict=True)], pa.binary())], ["region", "keys", "counts"])
 

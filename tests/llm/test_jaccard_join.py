@@ -75,6 +75,8 @@ def test_keep_one(spark):
 
 def test_empty(spark):
     assert result(spark, []) == []
+    for rows in ([(1, None)], [(1, ""), (2, " "), (None, None)]):
+        assert result(spark, rows) == brute(rows)
 
 
 @settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
