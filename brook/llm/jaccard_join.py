@@ -330,10 +330,13 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: int = 75, id_col: st
     out = _grouped(docs, shingle, similarity, id_col, text_col)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("v")
     winners = out.where("n > 0").groupBy("comp").agg(first).select("v.id", "v.h")
-    winners = winners.union(out.where("n = 0").select("id", "h").distinct()).select(F.col("id").alias("_id"), F.col("h").alias("_wh"))
-    rows = docs.withColumn("_h", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    rows = rows.join(winners, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_wh")), "left_semi")
-    return rows.dropDuplicates([id_col, "_h"]).drop("_h")
+    winners = winners.union(out.where("n = 0").select("id", "h").distinct())
+    key = lambda c: (F.coalesce(c, F.lit(0)).alias("_i"), c.isNull().alias("_z"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    # the join and the removal of repeated rows share one partitioning, so texts are shuffled once
+    rows = docs.select("*", *key(F.col(id_col).cast("long")), F.xxhash64(text).alias("_h"))
+    rows = rows.join(winners.select(*key(F.col("id")), F.col("h").alias("_h")), ["_i", "_z", "_h"], "left_semi")
+    return rows.dropDuplicates(["_i", "_z", "_h"]).select(*docs.columns)
 
 
 def _grouped(docs: DataFrame, shingle: int, similarity: int, id_col: str, text_col: str) -> DataFrame:
