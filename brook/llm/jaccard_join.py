@@ -43,7 +43,8 @@ ORDERS = 3
 RANGES = 64
 #: A shingle's level is the number of these counts that it reaches; one bitmap of 2**bits for each.
 LEVELS = ((2, 27), (16, 24), (128, 22), (1024, 20), (8192, 18))
-REGIONS_MOST = 1 << 15
+#: Shingles whose counts a task adds up before it sends them on.
+MERGED = 1 << 20
 SHORT = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -107,19 +108,29 @@ def _signature_rows(shingle: int) -> Callable:
 
 
 def _region_rows(shingle: int, region_bits: int) -> Callable:
-    """For each run and region of the hash range: shingles (their next 32 bits) and in how many documents of the run."""
+    """For about MERGED shingles and each region of the hash range: shingles (their next 32 bits) and in how many documents."""
+
+    def counted(token: np.ndarray) -> pa.RecordBatch:
+        key, count = np.unique(token >> np.uint64(32 - region_bits), return_counts=True)
+        region = key >> np.uint64(32)
+        at = np.flatnonzero(np.diff(region, prepend=np.uint64(1 << 40)))
+        ends = [*at[1:], len(key)][: len(at)]
+        low, count = key.astype("<u4"), np.minimum(count, 65535).astype("<u2")
+        keys, counts = (pa.array([x[i:j].tobytes() for i, j in zip(at, ends, strict=True)], pa.binary()) for x in (low, count))
+        return pa.RecordBatch.from_arrays([pa.array(region[at].astype(np.int32)), keys, counts], ["region", "keys", "counts"])
 
     @T.lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in batches:
             for run in T.runs(b.column("t")):
-                _, token = run_sets(run, shingle)
-                key, count = np.unique(token >> np.uint64(32 - region_bits), return_counts=True)
-                region = key >> np.uint64(32)
-                at = np.flatnonzero(np.diff(region, prepend=np.uint64(1 << 40)))
-                ends = [*at[1:], len(key)][: len(at)]
-                low, count = key.astype("<u4"), np.minimum(count, 65535).astype("<u2")
-                yield pa.RecordBatch.from_arrays([pa.array(region[at].astype(np.int32)), pa.array([low[i:j].tobytes() for i, j in zip(at, ends, strict=True)], pa.binary()), pa.array([count[i:j].tobytes() for i, j in zip(at, ends, strict=True)], pa.binary())], ["region", "keys", "counts"])
+                held.append(run_sets(run, shingle)[1])
+                size += len(held[-1])
+                if size >= MERGED:
+                    yield counted(np.concatenate(held))
+                    held, size = [], 0
+        if size:
+            yield counted(np.concatenate(held))
 
     return rows
 
