@@ -8,7 +8,9 @@ Items and texts are sequences of words (digits, letters and everything beyond AS
 2. CGK embedding: a random walk over the window copies a word a step and moves on by a random bit of
    (word, step), so that few edits change few places of the copy.  Bit-sampling LSH takes ``samples``
    places of it as a key; windows whose key equals an item's are candidates.  Walks are repeated until
-   simulated copies with as many edits as allowed are found with the probability ``recall``.
+   simulated copies with as many edits as allowed, inside other text, are found with the probability
+   ``recall``; where MOST_WALKS don't reach it, an error says so.  Items of more than ``PART_WORDS`` words
+   are sought by their parts: in any copy one part holds no more than its share of the edits.
 3. Candidates are verified exactly: the least edit distance (in words) between the item and any stretch
    of the text there must be at most ``edit_share`` of the item's words.
 
@@ -32,7 +34,9 @@ from pyspark.sql import functions as F
 from brook.llm import _text as T
 
 GROWTH = 1.2  # of lengths within a group
-MOST_WALKS = 64
+MOST_WALKS = 4096  # beyond this the parameters don't allow the recall
+PART_WORDS = 60
+VERIFIED = 1 << 20  # words of texts compared at once
 TABLE_BITS = 20
 FILTER_BITS = 18
 STEP_SALT, KEY_BASE = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD1342543DE82EF95)
@@ -55,11 +59,20 @@ class Group(NamedTuple):
     recall: float  # of simulated copies
 
 
+class Seed(NamedTuple):
+    """What is sought by its keys: an item or a part of one."""
+
+    item: int
+    words: np.ndarray
+    offset: int  # in the item
+
+
 class Plan(NamedTuple):
     items: list[tuple[int, np.ndarray]]
     groups: list[Group]
     table: np.ndarray  # for each hash of a word, the groups that have it
     edit_share: float
+    seeds: list[Seed] = []  # the walks' owners
 
 
 def item_words(text: str) -> np.ndarray:
@@ -87,10 +100,11 @@ def walk_keys(words: np.ndarray, starts: np.ndarray, moves: np.ndarray, sampled:
     return T.mix(key)
 
 
-def make_walks(least: int, samples: int, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def make_walks(least: int, samples: int, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     rng = np.random.default_rng(least)
     steps = max(samples, int(1.6 * least))
-    return [(T.mix(rng.integers(1, 1 << 63, steps).astype(np.uint64)) | np.uint64(1), np.sort(rng.choice(steps, samples, replace=False))) for _ in range(n)]
+    for _ in range(n):
+        yield T.mix(rng.integers(1, 1 << 63, steps).astype(np.uint64)) | np.uint64(1), np.sort(rng.choice(steps, samples, replace=False))
 
 
 def edited(words: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
@@ -106,47 +120,63 @@ def _padded(words: np.ndarray, steps: int) -> np.ndarray:
     return np.concatenate([words, np.zeros(steps, dtype=np.uint64)])
 
 
-def plan_group(members: list[int], items: list, least: int, edit_share: float, samples: int, recall: float, trials: int) -> Group:
+def _in_a_row(some: list[np.ndarray], steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Padded words one after the other, and where each begins."""
+    rows = [_padded(w, steps) for w in some]
+    return np.concatenate(rows), np.cumsum([0, *map(len, rows[:-1])])
+
+
+def plan_group(members: list[int], seeds: list[Seed], least: int, edit_share: float, samples: int, recall: float, trials: int) -> Group:
     """As many walks as simulated copies with all edits allowed need to be found with the given probability."""
-    walks = make_walks(least, samples, MOST_WALKS)
-    steps, rng = len(walks[0][0]), np.random.default_rng(7)
+    steps, rng = max(samples, int(1.6 * least)), np.random.default_rng(7)
     found = np.zeros(trials, dtype=bool)
-    chosen = [(items[members[i % len(members)]][1]) for i in range(trials)]
-    copies = [edited(w, allowed(len(w), edit_share), rng) for w in chosen]
-    both = [(_padded(w, steps), _padded(c, steps)) for w, c in zip(chosen, copies, strict=True)]
+    chosen = np.arange(trials) % len(members)
+    own = _in_a_row([seeds[m].words for m in members], steps)
+    copies = [edited(seeds[members[c]].words, allowed(len(seeds[members[c]].words), edit_share), rng) for c in chosen]
+    # a copy is followed by other words, an item by none
+    copied = _in_a_row([np.concatenate([c, rng.integers(1, 1 << 63, steps).astype(np.uint64)]) for c in copies], steps)
     out, reached = [], 0.0
-    zero = np.zeros(1, dtype=np.int64)
-    for moves, sampled in walks:
-        keys = np.array([walk_keys(_padded(items[m][1], steps), zero, moves, sampled)[0] for m in members], dtype=np.uint64)
+    for moves, sampled in make_walks(least, samples, MOST_WALKS):
+        keys = walk_keys(*own, moves, sampled)
         order = np.argsort(keys, kind="stable")
         mask = np.zeros(1 << FILTER_BITS, dtype=bool)
         mask[keys >> np.uint64(64 - FILTER_BITS)] = True
         out.append(Walk(moves, sampled, keys[order], np.array(members)[order], mask))
-        for i, (a, b) in enumerate(both):
-            found[i] = found[i] or walk_keys(a, zero, moves, sampled)[0] == walk_keys(b, zero, moves, sampled)[0]
+        found |= keys[chosen] == walk_keys(*copied, moves, sampled)
         reached = float(found.mean())
         if reached >= recall:
-            break
-    return Group(least, max(allowed(len(items[m][1]), edit_share) for m in members), out, reached)
+            return Group(least, max(allowed(len(seeds[m].words), edit_share) for m in members), out, reached)
+    raise ValueError(f"items of {least} words: {MOST_WALKS} walks find {reached:.3f} of copies, not {recall}; fewer samples or a smaller edit_share are needed")
+
+
+def make_seeds(items: list[tuple[int, np.ndarray]]) -> list[Seed]:
+    """Items, longer ones in parts of even lengths; shortest first."""
+    seeds = []
+    for k, (_, w) in enumerate(items):
+        parts = -(-len(w) // PART_WORDS)
+        cuts = [len(w) * p // parts for p in range(parts + 1)]
+        seeds += [Seed(k, w[a:b], a) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return sorted(seeds, key=lambda x: len(x.words))
 
 
 def make_plan(items: list[tuple[int, str]], edit_share: float, samples: int, recall: float, least_words: int, trials: int = 200) -> Plan:
     known = [(i, w) for i, t in items if t and len(w := item_words(t)) >= least_words]
     known.sort(key=lambda x: len(x[1]))
+    seeds = make_seeds(known)
     table = np.zeros(1 << TABLE_BITS, dtype=np.uint64)
     groups: list[Group] = []
     at = 0
-    while at < len(known):
-        least = len(known[at][1])
+    while at < len(seeds):
+        least = len(seeds[at].words)
         end = at
-        while end < len(known) and len(known[end][1]) <= max(least, GROWTH * least):
+        while end < len(seeds) and len(seeds[end].words) <= max(least, GROWTH * least):
             end += 1
         members = list(range(at, end))
-        words = np.concatenate([known[m][1] for m in members])
+        words = np.concatenate([seeds[m].words for m in members])
         table[words >> np.uint64(64 - TABLE_BITS)] |= np.uint64(1) << np.uint64(min(len(groups), 63))
-        groups.append(plan_group(members, known, least, edit_share, samples, recall, trials))
+        groups.append(plan_group(members, seeds, least, edit_share, samples, recall, trials))
         at = end
-    return Plan(known, groups, table, edit_share)
+    return Plan(known, groups, table, edit_share, seeds)
 
 
 # ---------------------------------------------------------------- verification
@@ -169,12 +199,14 @@ def distances(items: np.ndarray, lengths: np.ndarray, texts: np.ndarray) -> tupl
     return last[np.arange(n), end], end
 
 
-def verify(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, owners: np.ndarray, plan: Plan) -> tuple[np.ndarray, ...]:
-    """Exact distances of candidate stretches: edits, start and end word (positions in the run)."""
+def verify(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, owners: np.ndarray, plan: Plan, of_seeds: bool = False) -> tuple[np.ndarray, ...]:
+    """Exact distances of candidate stretches: edits, start and end word (positions in the run).  owners: items or seeds."""
     edits, first, last = (np.zeros(len(starts), dtype=np.int64) for _ in range(3))
-    for low in range(0, len(starts), 512):
-        some = slice(low, low + 512)
-        lo, hi, own = starts[some], ends[some], [plan.items[o][1] for o in owners[some]]
+    known = plan.seeds if of_seeds else plan.items
+    at_once = max(1, min(512, VERIFIED // int((ends - starts).max(initial=1))))
+    for low in range(0, len(starts), at_once):
+        some = slice(low, low + at_once)
+        lo, hi, own = starts[some], ends[some], [known[o][1] for o in owners[some]]
         lengths = np.array([len(w) for w in own])
         items = np.zeros((len(own), lengths.max()), dtype=np.uint64)
         for i, w in enumerate(own):
@@ -212,7 +244,7 @@ def _anchored(items: np.ndarray, lengths: np.ndarray, texts: np.ndarray, edits:
 
 
 def candidates(h: np.ndarray, end_of: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of windows and items with equal keys.  end_of: where each word's document ends."""
+    """Starts of windows and seeds with equal keys.  end_of: where each word's document ends."""
     known = plan.table[h >> np.uint64(64 - TABLE_BITS)]
     all_starts, all_owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for g, group in enumerate(plan.groups):
@@ -255,16 +287,30 @@ def run_leaks(run: T.Run, plan: Plan) -> Leaks:
     h = T.word_hashes(data, w)
     if not len(h):
         return Leaks(none, none, none, none, none)
-    start, own = candidates(h, w.first[1:][w.doc], plan)
+    start, seed = candidates(h, w.first[1:][w.doc], plan)
     if not len(start):
         return Leaks(none, none, none, none, none)
+    lengths, item_of, offset = np.array([(len(x.words), x.item, x.offset) for x in plan.seeds]).T
     sizes = np.array([len(x) for _, x in plan.items])
-    # windows of an item that start close by are verified as one stretch
-    doc, own, block = np.unique(np.stack([w.doc[start], own, start // np.maximum(4, sizes[own] // 4)]), axis=1)
-    step, most = np.maximum(4, sizes[own] // 4), (sizes[own] * plan.edit_share).astype(np.int64)
+    # windows of a seed that start close by are verified as one stretch
+    doc, seed, block = np.unique(np.stack([w.doc[start], seed, start // np.maximum(4, lengths[seed] // 4)]), axis=1)
+    step, most = np.maximum(4, lengths[seed] // 4), (lengths[seed] * plan.edit_share).astype(np.int64)
     lo = np.maximum(block * step - most, w.first[doc])
-    hi = np.minimum((block + 1) * step + sizes[own] + most, w.first[doc + 1])
-    edits, first, last = verify(h, lo, hi, own, plan)
+    hi = np.minimum((block + 1) * step + lengths[seed] + most, w.first[doc + 1])
+    edits, first, last = verify(h, lo, hi, seed, plan, of_seeds=True)
+    near, own = edits <= most, item_of[seed]
+    # of an item in parts, the whole is verified where a part is found
+    part = near & (lengths[seed] < sizes[own])
+    if part.any():
+        wide = np.maximum(4, sizes[own] // 4)
+        d, o, around = np.unique(np.stack([doc[part], own[part], (block * step - offset[seed])[part] // wide[part]]), axis=1)
+        wide, more = np.maximum(4, sizes[o] // 4), (sizes[o] * plan.edit_share).astype(np.int64)
+        lo = np.maximum(around * wide - more, w.first[d])
+        hi = np.minimum((around + 1) * wide + PART_WORDS // 4 + sizes[o] + more, w.first[d + 1])
+        whole = verify(h, lo, hi, o, plan)
+        alone = near & ~part
+        doc, own, most = np.concatenate([doc[alone], d]), np.concatenate([own[alone], o]), np.concatenate([most[alone], more])
+        edits, first, last = (np.concatenate([a[alone], b]) for a, b in zip((edits, first, last), whole, strict=True))
     good = np.flatnonzero(edits <= most)
     good = good[np.lexsort((first[good], edits[good], own[good], doc[good]))]
     new = np.ones(len(good), dtype=bool)

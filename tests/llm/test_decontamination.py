@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -102,3 +103,27 @@ def test_blocks(spark):
     docs = [(i, "start " + t + " end") for i, t in items]
     got = {(r.doc_id, r.item_id) for r in leaks(spark, docs, items, block_words=60)}
     assert got == {(i, i) for i, _ in items}
+
+
+def test_long_items(spark):
+    rng = random.Random(11)
+    vocabulary = [f"v{i}" for i in range(4000)]
+    items = [(n, [rng.choice(vocabulary) for _ in range(n)]) for n in (61, 120, 250, 500)]
+    filler = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    docs, planted = [], []
+    for k in range(60):
+        i, item = items[k % len(items)]
+        docs.append((k, " ".join(filler(rng.randrange(0, 80)) + edit(item, int(0.2 * i), rng) + filler(rng.randrange(0, 80)))))
+        planted.append((k, i))
+    docs += [(100, " ".join(items[3][1][:60])), (101, " ".join(filler(200) + items[2][1][:125] + filler(125)))]  # a part alone is no copy
+    got = leaks(spark, docs, [(i, " ".join(w)) for i, w in items])
+    found = {(r.doc_id, r.item_id): r for r in got}
+    assert set(found) <= set(planted) and len(found) == len(got) and len(found) >= 0.97 * len(planted)
+    for p, r in found.items():
+        text = words(docs[p[0]][1])
+        assert r.edits == least_edits(dict(items)[p[1]], text) == least_edits(dict(items)[p[1]], text[r.start_word : r.end_word])
+
+
+def test_recall_out_of_reach():
+    with pytest.raises(ValueError, match="walks find"):
+        D.make_plan([(1, " ".join(f"w{i}" for i in range(20)))], 0.8, 16, 0.98, 8)
