@@ -2,12 +2,15 @@
 
 Content: shares of letter cases, digits, symbols and marks, lengths and repetition, each cut into
 quantile bins.  Metadata: language, source and stated length, hashed or cut into bins.  Both views are
-logistic regressions.  Over ``rounds`` rounds each labels the unlabelled rows of which it is most sure
-for the *other* view's training set.  The views' scores are then calibrated on labelled rows that no
+logistic regressions.  Over ``rounds`` rounds each labels all unlabelled rows of which it is sure for the
+*other* view's training set, where those of a label count as at most ``each_round`` rows a round: all have
+the same weight.  The views' scores are then calibrated on labelled rows that no
 view has seen, and combined by a third regression.
 
-Fitting sees at most ``sample`` labelled rows outside the held-out third and ``pool`` rows without a
-label (those of least hashed id).  Scoring is one map over all whole texts, without a shuffle.
+Fitting collects at most ``sample`` labelled rows outside the held-out third.  All rows without a label
+outside it take part: their features are written once, and each step of the regressions sums gradient and
+Hessian over them in Spark.  Bins are cut at quantiles of all rows' values of ``DIGITS`` digits.  Scoring
+is one map over all whole texts, without a shuffle.
 
 Null or empty text and null metadata have bins of their own, so every row gets a score.  Repeated rows
 score alike; null ids are allowed.  Where labels of both kinds are missing every row scores 1 and is
@@ -26,10 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brook.llm import _text as T
+from brook.llm._shared import kept
 from brook.llm.toxicity import held_out
 
 CONTENT = ("words", "word_length", "upper", "digits", "symbols", "bangs", "pipes", "marks", "distinct_words", "distinct_lines", "words_a_line")
 BINS = 16
+DIGITS = 4
+STEPS = 4  # of Newton's method in a round; each begins where the one before ended
 HASHED = 64  # buckets of a metadata string
 SYMBOLS = b"#*$%&<>@^~=+_\\/{}[]"
 
@@ -124,32 +130,65 @@ def _affine(z: np.ndarray) -> np.ndarray:
     return np.concatenate([np.ones((len(z), 1)), np.clip(z.reshape(len(z), -1), -30, 30)], axis=1)
 
 
-def co_train(content: np.ndarray, metadata: np.ndarray, y: np.ndarray, key: np.ndarray, rounds: int, sure: float, each_round: int) -> Model:
-    """y: 0, 1 or -1 without a label.  key: chooses the fifth of the labelled rows that calibrates."""
-    quantiles = np.linspace(0, 1, BINS + 1)[1:-1]
-    edges = [np.quantile(np.unique(c), quantiles) for c in (*content.T, metadata[:, 2])]  # of values, not rows: most shares are 0
-    views = [content_view(content, edges), metadata_view(metadata, edges)]
-    calibrates = (y >= 0) & (key % 5 == 0)
-    train = (y >= 0) & ~calibrates
-    if any(len(np.unique(y[part])) < 2 for part in (calibrates, train)):
+QUANTILES = np.linspace(0, 1, BINS + 1)[1:-1]
+Weights = list[np.ndarray]  # of both views
+#: For each view and label: how many rows the other view has labelled so, and their gradient and Hessian.
+Totals = list[list[tuple[float, np.ndarray, np.ndarray]]]
+
+
+def told(views: list[np.ndarray], history: list[Weights], weights: Weights, sure: float) -> Totals:
+    """Of rows without a label.  A row has the label of the first round in which the other view was sure of it."""
+    limit, out = np.log(sure / (1 - sure)), []
+    for k in (0, 1):
+        label = np.full(len(views[k]), -1)
+        for past in history:
+            z = views[1 - k] @ past[1 - k]
+            label = np.where((label < 0) & (np.abs(z) >= limit), z > 0, label)
+        out.append([(float((label == y).sum()), *_slopes(views[k][label == y], np.full((label == y).sum(), y), weights[k])) for y in (0, 1)])
+    return out
+
+
+def _slopes(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    return x.T @ (p - y), (x * (p * (1 - p))[:, None]).T @ x
+
+
+def fit_views(edges: list[np.ndarray], content: np.ndarray, metadata: np.ndarray, y: np.ndarray, key: np.ndarray, totals: Callable[[list[Weights], Weights], Totals] | None, rounds: int, each_round: int, ridge: float = 1.0) -> Model:
+    """From rows with labels, and the totals over rows without (None: there are no such rows)."""
+    calibrates = key % 5 == 0
+    if any(len(np.unique(y[part])) < 2 for part in (calibrates, ~calibrates)):
         return Model(edges, np.zeros(0), np.zeros(0), np.zeros(0), np.zeros((2, 2)))
-    own = [np.where(train, y, -1), np.where(train, y, -1)]
-    weights = [logistic(x[o >= 0], o[o >= 0]) for x, o in zip(views, own, strict=True)]
-    for _ in range(rounds):
-        for k in (0, 1):
-            z = views[k] @ weights[k]
-            free = (y < 0) & (own[1 - k] < 0)
-            limit = np.log(sure / (1 - sure))
-            for label, rank in ((1, z), (0, -z)):
-                chosen = np.flatnonzero(free & (rank >= limit))
-                own[1 - k][chosen[np.argsort(-rank[chosen], kind="stable")[:each_round]]] = label
-        weights = [logistic(x[o >= 0], o[o >= 0]) for x, o in zip(views, own, strict=True)]
+    views = [content_view(content, edges), metadata_view(metadata, edges)]
+    own = y[~calibrates]
+    weights, history = [logistic(x[~calibrates], own) for x in views], []
+    for n in range(1, rounds + 1 if totals else 1):
+        history.append(weights)
+        for _ in range(STEPS):
+            moved, all_told = [], totals(history, weights)
+            for x, w, by_label in zip(views, weights, all_told, strict=True):
+                g, h = _slopes(x[~calibrates], own, w)
+                for count, more_g, more_h in by_label:
+                    share = min(1.0, n * each_round / max(count, 1.0))
+                    g, h = g + share * more_g, h + share * more_h
+                moved.append(np.linalg.solve(h + ridge * np.eye(len(w)), g + ridge * w))
+            weights = [w - m for w, m in zip(weights, moved, strict=True)]
+            if max(np.abs(m).max() for m in moved) < 1e-2:
+                break
     z = [x[calibrates] @ w for x, w in zip(views, weights, strict=True)]
     scale = np.stack([logistic(_affine(v), y[calibrates], ridge=0.1) for v in z])
     both = np.stack([_affine(v) @ s for v, s in zip(z, scale, strict=True)], axis=1)
     return Model(edges, *weights, logistic(_affine(both), y[calibrates], ridge=0.1), scale)
 
 
+def co_train(content: np.ndarray, metadata: np.ndarray, y: np.ndarray, key: np.ndarray, rounds: int, sure: float, each_round: int) -> Model:
+    """Of rows at hand.  y: 0, 1 or -1 without a label.  key: chooses the fifth of the labelled rows that calibrates."""
+    edges = [np.quantile(np.unique(c), QUANTILES) for c in (*content.T, metadata[:, 2])]  # of values, not rows: most shares are 0
+    free, known = y < 0, y >= 0
+    views = [content_view(content[free], edges), metadata_view(metadata[free], edges)]
+    totals = (lambda history, weights: told(views, history, weights, sure)) if free.any() else None
+    return fit_views(edges, content[known], metadata[known], y[known], key[known], totals, rounds, each_round)
+
+
 def predict(m: Model, content: np.ndarray, metadata: np.ndarray) -> np.ndarray:
     """Columns: combined score, calibrated content view, calibrated metadata view."""
     if not len(m.mix):
@@ -177,7 +216,7 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             both = np.concatenate([run_content(run), metadata[run.low : run.high]], axis=1)
             n = run.high - run.low
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * both.shape[1]), pa.array(both.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("id").slice(run.low, n), b.column("y").slice(run.low, n), lists], ["id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("id").slice(run.low, n), b.column("h").slice(run.low, n), lists], ["id", "h", "x"])
 
 
 def _score_rows(shared) -> Callable:
@@ -193,22 +232,84 @@ def _score_rows(shared) -> Callable:
     return rows
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 8_000, pool: int = 8_000, rounds: int = 5, sure: float = 0.97, each_round: int = 400, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    texts = docs.select(*_inputs(docs, id_col, text_col))
+WIDTH = len(CONTENT) + 3
+
+
+def _features(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH)
+
+
+def rounded(v: np.ndarray) -> np.ndarray:
+    """To DIGITS significant digits, so that there are only so many values."""
+    unit = 10.0 ** (DIGITS - 1 - np.floor(np.log10(np.maximum(np.abs(v), 1e-9))))
+    return np.round(v * unit) / unit
+
+
+def _value_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        x = _features(b.column("x"))
+        for k, c in enumerate((*range(len(CONTENT)), WIDTH - 1)):
+            v = np.unique(rounded(x[:, c]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), k, dtype=np.int32)), pa.array(v)], ["k", "v"])
+
+
+def _told_rows(shared) -> Callable:
+    """One row a partition: the totals, Hessians without what is symmetric."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges, history, weights, sure = shared.value
+        total = 0.0
+        for b in batches:
+            x = _features(b.column("x"))
+            for low in range(0, len(x), 4096):
+                part = x[low : low + 4096]
+                views = [content_view(part[:, : len(CONTENT)], edges), metadata_view(part[:, len(CONTENT) :], edges)]
+                total = total + np.concatenate([np.concatenate([[n], g, h[np.triu_indices(len(g))]]) for by_label in told(views, history, weights, sure) for n, g, h in by_label])
+        if np.ndim(total):
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
+
+    return T.lean(rows)
+
+
+def _spark_totals(unknown: DataFrame, edges: list[np.ndarray], sure: float) -> Callable[[list[Weights], Weights], Totals]:
+    def totals(history: list[Weights], weights: Weights) -> Totals:
+        shared = unknown.sparkSession.sparkContext.broadcast((edges, history, weights, sure))
+        flat, at, out = 0.0, 0, []
+        for r in unknown.mapInArrow(_told_rows(shared), "total binary").toLocalIterator():
+            flat = flat + np.frombuffer(r.total)
+        shared.destroy()
+        for w in weights:
+            by_label, n = [], len(w)
+            for _ in (0, 1):
+                g, upper = flat[at + 1 : at + 1 + n], np.zeros((n, n))
+                upper[np.triu_indices(n)] = flat[at + 1 + n : at + 1 + n + n * (n + 1) // 2]
+                by_label.append((flat[at], g, upper + np.triu(upper, 1).T))
+                at += 1 + n + n * (n + 1) // 2
+            out.append(by_label)
+        return out
+
+    return totals
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = 8_000, rounds: int = 5, sure: float = 0.97, each_round: int = 400, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).cast("int").alias("y"))
-    first = lambda df, n: df.orderBy(F.xxhash64("id"), "id").limit(n)
-    known = first(marks.where(~held_out("id")), sample)
-    unknown = first(texts.where(F.col("id").isNotNull() & ~F.col("h")).select("id").distinct().join(marks, "id", "left_anti"), pool).withColumn("y", F.lit(-1))
-    got = texts.join(known.union(unknown), "id").mapInArrow(_feature_rows, "id long, y int, x array<double>").toPandas()
-    width = len(CONTENT) + 3
-    x = np.stack(got["x"].to_list()) if len(got) else np.zeros((0, width))
-    order = np.lexsort((*x.T, got["id"].to_numpy()))
-    got, x = got.iloc[order], x[order]
+    known = marks.where(~held_out("id")).orderBy(F.xxhash64("id"), "id").limit(sample)
+    features = kept(docs.select(*_inputs(docs, id_col, text_col)).mapInArrow(_feature_rows, "id long, h boolean, x array<double>"), "features")
+    got = features.join(known, "id").select("id", "y", "x").toPandas()
     if not len(got):
         return Model([], np.zeros(0), np.zeros(0), np.zeros(0), np.zeros((2, 2)))
+    x = np.stack(got["x"].to_list())
+    order = np.lexsort((*x.T, got["id"].to_numpy()))
+    got, x = got.iloc[order], x[order]
+    values = features.select("x").mapInArrow(_value_rows, "k int, v double").distinct()
+    cuts = values.groupBy("k").agg(F.percentile("v", F.array(*map(F.lit, QUANTILES.tolist()))).alias("q")).collect()
+    edges = [np.array(r.q) for r in sorted(cuts, key=lambda r: r.k)]
     key = np.array([zlib.crc32(row.tobytes()) for row in x])  # copies stay together
+    unknown = kept(features.where(F.col("id").isNotNull() & ~F.col("h")).join(marks, "id", "left_anti").select("x"), "unknown")
+    totals = None if unknown.isEmpty() else _spark_totals(unknown, edges, sure)
+    model = fit_views(edges, x[:, : len(CONTENT)], x[:, len(CONTENT) :], got["y"].to_numpy(), key, totals, rounds, each_round)
     T.release()
-    return co_train(x[:, : len(CONTENT)], x[:, len(CONTENT) :], got["y"].to_numpy(), key, rounds, sure, each_round)
+    return model
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

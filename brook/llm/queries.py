@@ -33,7 +33,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = quality_classifier.train(docs, table(spark, sf_dir, "labels"), sample=8_000, pool=8_000)
+    model = quality_classifier.train(docs, table(spark, sf_dir, "labels"), sample=8_000)
     return quality_classifier.score(docs, model)
 
 

@@ -19,7 +19,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fitted on labelled rows of these documents; those that score below one half go."""
-    model = quality_classifier.train(docs, table(spark, sf_dir, "labels"), sample=8_000, pool=8_000)
+    model = quality_classifier.train(docs, table(spark, sf_dir, "labels"), sample=8_000)
     return quality_classifier.keep_good(docs, model, threshold=0.5)
 
 

@@ -80,3 +80,21 @@ def test_content_does_not_depend_on_the_batch():
     for i, t in enumerate(texts):
         assert np.allclose(together[i], Q.run_content(next(T.runs(pa.array([t]))))[0])
     assert list(together[0][:2]) == [7, 11 / 7] and together[0][9] == 2 / 3
+
+
+def test_all_unlabelled_rows_take_part(spark):
+    """A source that only one row in a thousand has, and none with a label: its weight is learnt, however many rows there are."""
+    rng = random.Random(4)
+    rows, labels = corpus(300)
+    rows += [(i, *corpus_row(i, rng)) for i in range(1000, 11000)]
+    docs, marks = frames(spark, rows, labels)
+    model = Q.train(docs, marks)
+    assert abs(model.metadata[Q.HASHED + Q.hashed("rare", 1)]) > 1e-6
+    assert model.edges[-1][-1] > max(r[4] for r in rows[:300])  # bins reach the unlabelled rows' lengths
+    whole = Q.told([np.ones((3, 1)), np.ones((3, 1))], [[np.array([4.0]), np.array([-4.0])]], [np.zeros(1), np.zeros(1)], 0.97)
+    assert [[n for n, _, _ in view] for view in whole] == [[3, 0], [0, 3]]
+
+
+def corpus_row(i, rng):
+    text = ". ".join(f"word{rng.randrange(500)}" for _ in range(rng.randrange(30, 90)))
+    return text, "en", "rare" if i % 1000 == 7 else f"s{rng.randrange(8)}", len(text) + (i - 1000) * (i % 2)
