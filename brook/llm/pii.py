@@ -7,8 +7,9 @@ Everything on the main path is a DataFrame expression.
 2. A term (a word of letters) *discloses* an entity if knowing it leaves little doubt about the entity:
    ``PMI(term; entity) / IC(entity)``, the share of the entity's information ``-log2 P(entity)`` that
    the term gives, with counts of different texts: c(term near entity), c(entity), c(term) over the
-   whole corpus.  Terms seen near an entity in fewer than ``support`` different texts are not judged.
-3. In texts that hold the entity, terms whose share is at least ``remove`` are removed and those with
+   whole corpus.  Near is within ``reach`` characters, or with None in the same text.  Terms seen near an
+   entity in fewer than ``support`` different texts are not judged.
+3. In texts that hold the entity, or with ``everywhere`` in all texts, terms whose share is at least ``remove`` are removed and those with
    at least ``generalise`` generalised; both are spans of the kind ``term``.  Words inside a base span stay with it.
 
 Two broadcasts hold hash buckets, at most ``BUCKETS`` rows whatever the input; they only thin rows out
@@ -110,17 +111,23 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select("id", "t", F.xxhash64("t").alias("a"), F.xxhash64(F.lit("other"), "t").alias("b"))
 
 
-def _near_terms(reach: int) -> Column:
-    """For each entity of ``e``: its hash and the terms within ``reach`` characters; the outermost may be cut and is left out."""
+def _entity(x: Column) -> Column:
+    return F.xxhash64(x["kind"], F.when(x["kind"] >= 2, _digits(x["value"])).otherwise(F.lower(x["value"])))
+
+
+def _near_terms(reach: int | None) -> Column:
+    """For each entity of ``e``: its hash and the terms within ``reach`` characters (None: none yet); the outermost may be cut and is left out."""
 
     def near(x: Column) -> Column:
+        if reach is None:
+            return F.struct(_entity(x).alias("entity"), F.array().cast("array<string>").alias("terms"))
         low = F.greatest(x["start"] - reach, F.lit(0))
         left = F.substring(F.col("t"), low + 1, x["start"] - low)
         right = F.substring(F.col("t"), x["end"] + 1, F.lit(reach))
         left = F.when(low > 0, F.regexp_replace(left, rf"^[{LETTERS}]+", "")).otherwise(left)
         right = F.when(F.char_length(right) == reach, F.regexp_replace(right, rf"[{LETTERS}]+$", "")).otherwise(right)
         words = F.array_distinct(F.regexp_extract_all(F.lower(F.concat(left, F.lit("\n"), right)), F.lit(TERM), F.lit(0)))
-        return F.struct(F.xxhash64(x["kind"], F.when(x["kind"] >= 2, _digits(x["value"])).otherwise(F.lower(x["value"]))).alias("entity"), words.alias("terms"))
+        return F.struct(_entity(x).alias("entity"), words.alias("terms"))
 
     return F.transform("e", near)
 
@@ -132,9 +139,25 @@ def _thinned(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column
     return rows.withColumn("_bucket", bucket(key)).join(F.broadcast(some), "_bucket", "left_semi").drop("_bucket")
 
 
-def disclosing_terms(found: DataFrame, texts: DataFrame, support: int, generalise: float, remove: float) -> DataFrame:
-    """(entity, term, share, removed) above the thresholds.  found: a, b and near; texts: t, a, b of the whole corpus."""
-    near = found.select("a", "b", F.explode("near").alias("x")).select("a", "b", "x.entity", "x.terms")
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+
+
+def _whole_texts(found: DataFrame, texts: DataFrame, support: int) -> DataFrame:
+    """a, b, entity and the terms of the text outside the entity's spans, of entities in ``support`` different texts or more."""
+    each = found.groupBy("a", "b").agg(F.first("e").alias("e")).select("a", "b", F.explode("e").alias("x")).withColumn("entity", _entity(F.col("x")))
+    often = each.select("a", "b", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support).select("entity")
+    spans = kept(each.join(often, "entity", "left_semi").groupBy("a", "b", "entity").agg(F.sort_array(F.collect_list(F.struct("x.start", "x.end"))).alias("own")), "often")
+    rows = _thinned(texts.select("t", "a", "b"), F.col("a"), spans, F.col("a")).dropDuplicates(["a", "b"]).join(spans, ["a", "b"])
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    between = lambda acc, x: F.struct(x["end"].alias("at"), F.array_append(acc["out"], F.substring(F.col("t"), acc["at"] + 1, x["start"] - acc["at"])).alias("out"))
+    outside = F.aggregate("own", zero, between, lambda acc: F.array_join(F.array_append(acc["out"], F.substring(F.col("t"), acc["at"] + 1, F.char_length("t"))), "\n"))
+    return rows.select("a", "b", "entity", _terms(outside).alias("terms"))
+
+
+def disclosing_terms(found: DataFrame, texts: DataFrame, support: int, generalise: float, remove: float, whole: bool = False) -> DataFrame:
+    """(entity, term, share, removed) above the thresholds.  found: a, b, e and near; texts: t, a, b of the whole corpus; whole: terms of the whole text are near."""
+    near = _whole_texts(found, texts, support) if whole else found.select("a", "b", F.explode("near").alias("x")).select("a", "b", "x.entity", "x.terms")
     seen = near.select("a", "b", "entity", F.explode("terms").alias("term")).distinct()
     pairs = seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together")).where(F.col("together") >= support)
     entities = near.select("a", "b", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
@@ -145,7 +168,7 @@ def disclosing_terms(found: DataFrame, texts: DataFrame, support: int, generalis
     near_any = seen.select("a", "b", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
     pairs = pairs.join(entities, "entity").join(near_any, "term").join(F.broadcast(total)).where(share("n_near") >= generalise)
     pairs = kept(pairs.select("entity", "term", "together", "n_entity", "total"), "pairs")
-    words = texts.select("a", "b", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(TERM), F.lit(0)))).alias("term"))
+    words = texts.select("a", "b", F.explode(_terms(F.col("t"))).alias("term"))
     words = _thinned(words, F.xxhash64("term"), pairs, F.xxhash64("term"))
     known = pairs.select("term").distinct()
     corpus = words.join(known, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
@@ -153,14 +176,19 @@ def disclosing_terms(found: DataFrame, texts: DataFrame, support: int, generalis
     return judged.select("entity", "term", share("n_term").alias("share")).where(F.col("share") >= generalise).withColumn("removed", F.col("share") >= remove)
 
 
-def find_spans(docs: DataFrame, support: int = 3, generalise: float = 0.9, remove: float = 0.97, reach: int = 120, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_spans(docs: DataFrame, support: int = 3, generalise: float = 0.9, remove: float = 0.97, reach: int | None = 120, everywhere: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term, n_removed and the text's hashes a and b."""
     texts = _keyed(docs, id_col, text_col)
     based = base_spans(texts).select("id", "a", "b", F.col("e").cast("array<struct<start:int,kind:int,end:int,value:string>>").alias("e"), _near_terms(reach).alias("near"))
     found = kept(based, "found")
-    terms = kept(disclosing_terms(found, texts, support, generalise, remove), "terms")
-    held = found.select("a", "b", F.explode("near").alias("x")).select("a", "b", F.col("x.entity").alias("entity")).distinct()
-    told = held.join(terms, "entity").groupBy("a", "b").agg(F.collect_set("term").alias("words"), F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("removed"))
+    terms = kept(disclosing_terms(found, texts, support, generalise, remove, reach is None), "terms")
+    if everywhere:
+        words = texts.select("a", "b", F.explode(_terms(F.col("t"))).alias("term"))
+        words = _thinned(words, F.xxhash64("term"), terms, F.xxhash64("term")).distinct()
+        held = words.join(terms.groupBy("term").agg(F.max("removed").alias("removed")), "term")
+    else:
+        held = found.select("a", "b", F.explode("near").alias("x")).select("a", "b", F.col("x.entity").alias("entity")).distinct().join(terms, "entity")
+    told = held.groupBy("a", "b").agg(F.collect_set("term").alias("words"), F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("removed"))
     told = kept(told, "told")
     once = _thinned(texts.select("t", "a", "b"), F.col("a"), told, F.col("a")).join(told, ["a", "b"]).dropDuplicates(["a", "b"])
     pattern = F.concat(F.lit(rf"(?iu)(?<![{LETTERS}])(?:"), F.array_join(F.sort_array("words", asc=False), "|"), F.lit(rf")(?![{LETTERS}])"))

@@ -85,3 +85,17 @@ def test_sanitise(spark):
     assert got[90] is None and got[91] == "" and got[0] == rows[0][1] and got[93] == "Quimby alone, and via"
     assert got[96] == "x <CARD> y" and "<PHONE>" in got[95] and got[95].startswith("call ") and got[95].endswith(", now")
     assert "Quimby" not in got[40] and "<EMAIL>" in got[40]
+
+
+def test_terms_of_whole_texts_everywhere(spark):
+    far = " plain words about nothing" * 10
+    told = [f"Quimby writes{far} to quimby@mail.example.com or {i} words{i}" for i in range(4)]
+    rows = [(i, t) for i, t in corpus() if i is not None and i < 40] + [(40 + i, t) for i, t in enumerate(told)] + [(93, "Quimby alone, here"), (94, "quimbys plain"), (95, told[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    window, whole = ({r.doc_id: r for r in P.find_spans(df, **o).collect()} for o in ({}, {"reach": None, "everywhere": True}))
+    assert "term:0:6" not in window[40].spans and window[93].spans == ""
+    assert all(whole[i].spans.startswith("term:0:6") for i in (40, 43, 95)) and whole[93].spans == "term:0:6" and whole[94].spans == whole[0].spans == ""
+    for o, spans in (({"everywhere": True}, ""), ({"reach": None}, "")):
+        assert {r.doc_id: r.spans for r in P.find_spans(df, **o).collect()}[93] == spans
+    out = {r.doc_id: r.text for r in P.sanitise(df, reach=None, everywhere=True).collect()}
+    assert "Quimby" not in out[93] and out[0] == rows[0][1] and len(out) == len(rows)
