@@ -5,18 +5,22 @@ A document is the set of its ``shingle``-word shingles (64-bit hashes).  Two doc
 between classes only; all of them count, none is sampled or capped:
 
 1. One pass makes each set's size and two 64-bit signatures; classes are groups of equal signatures.
+   Only one row of each class is a candidate.
 2. One pass counts in how many documents each shingle stands, in Spark by ranges of its hash.  The
    counts leave as bitmaps of fixed size ("in two documents or more", "in 16 or more", ..), which are
-   broadcast: a full bitmap makes the orders below less sharp, never wrong.
+   broadcast: a full bitmap makes the orders below less sharp, never wrong.  Ranges are as many as the
+   shingles ask for, about ``REGION`` of them in each.
 3. A global order sorts shingles by count level, then by a hash; each order has a hash of its own.
    Linked sets share a shingle among the first ``n - ceil(similarity * n) + 1`` of *each* order
    (prefix filter).  Documents whose prefix holds nothing that others have leave here.
 4. Candidates share a prefix shingle under one order, early enough for the intersection they need, and
    must share one under every other order too; counts by ranges of the hash bound the intersection
    once more.  Only then are their sets compared exactly.
-   Only classes of different components so far are compared: first each class with one pivot of every
-   prefix shingle, an order a round (so a group of near copies is joined by as many pairs as it has
-   prefix shingles, not by all its pairs), then all pairs that still lie in different components.
+   Only classes of different components so far are compared.  First, an order a round, each class meets
+   one pivot of every prefix shingle: of those that have the shingle the one whose hashed id is least, so
+   that a group of near copies shares few pivots.  Then come all pairs of classes that still lie in
+   different components: components that share a prefix shingle are paired first, and only the pairs of
+   components that can link are spread out to their members.
 
 The number of links is not counted: that would need all pairs of a group.
 
@@ -32,19 +36,22 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brook.llm import _text as T
-from brook.llm._shared import kept
+from brook.llm._shared import kept, unused
 
 ORDERS = 3
 #: Ranges of the hash for which a set says how many of its shingles others may have.
 RANGES = 64
 #: A shingle's level is the number of these counts that it reaches; one bitmap of 2**bits for each.
 LEVELS = ((2, 27), (16, 24), (128, 22), (1024, 20), (8192, 18))
-#: Shingles whose counts a task adds up before it sends them on.
+#: Shingles whose counts a task adds up before it sends them on, and shingles of one range of the hash.
 MERGED = 1 << 20
+REGION = 1 << 22
+#: Rows that the bitmaps come to the driver in, for each level.
+SLICES = 64
 SHORT = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -135,46 +142,68 @@ def _region_rows(shingle: int, region_bits: int) -> Callable:
     return rows
 
 
-def _level_rows(region_bits: int) -> Callable:
-    def level_bits(region: int, keys: list, counts: list) -> pa.RecordBatch:
-        key = np.frombuffer(b"".join(keys), dtype="<u4")
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        n = np.add.reduceat(np.frombuffer(b"".join(counts), dtype="<u2")[order].astype(np.int64), at)
-        out = []
-        for least, bits in LEVELS:
-            flag = np.zeros(1 << (bits - region_bits), dtype=bool)
-            flag[key[at][n >= least] >> np.uint32(32 - (bits - region_bits))] = True
-            out.append(np.packbits(flag, bitorder="little").tobytes())
-        return pa.RecordBatch.from_arrays([pa.array([region] * len(LEVELS), pa.int32()), pa.array(range(len(LEVELS)), pa.int32()), pa.array(out, pa.binary())], ["region", "level", "bits"])
+def level_bits(region: int, region_bits: int, key: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Level, offset and bytes of what a region sets in each bitmap; more than one region may share a byte."""
+    hashes = (np.uint64(region) << np.uint64(64 - region_bits)) | (key.astype(np.uint64) << np.uint64(32 - region_bits))
+    for level, (least, bits) in enumerate(LEVELS):
+        at = hashes[n >= least] >> np.uint64(64 - bits)
+        if len(at):
+            low = int(at.min() >> np.uint64(3))
+            flag = np.zeros(8 * (int(at.max() >> np.uint64(3)) - low + 1), dtype=bool)
+            flag[at - np.uint64(8 * low)] = True
+            yield level, low, np.packbits(flag, bitorder="little")
+
 
+def _level_rows(region_bits: int) -> Callable:
     @T.lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(region: int, keys: list, counts: list) -> pa.RecordBatch:
+            key = np.frombuffer(b"".join(keys), dtype="<u4")
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            n = np.add.reduceat(np.frombuffer(b"".join(counts), dtype="<u2")[order].astype(np.int64), at)
+            out = list(level_bits(region, region_bits, key[at], n))
+            part = [(8 * low * SLICES) >> LEVELS[level][1] for level, low, _ in out]
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array(part, pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2].tobytes() for x in out], pa.binary())], ["level", "slice", "low", "bits"])
+
         now, keys, counts = None, [], []
         for b in batches:  # sorted by region
             for region, k, c in zip(b.column("region").to_pylist(), b.column("keys").to_pylist(), b.column("counts").to_pylist(), strict=True):
                 if region != now and keys:
-                    yield level_bits(now, keys, counts)
+                    yield done(now, keys, counts)
                     keys, counts = [], []
                 now = region
                 keys.append(k)
                 counts.append(c)
         if keys:
-            yield level_bits(now, keys, counts)
+            yield done(now, keys, counts)
 
     return rows
 
 
+def _slice_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What regions set, put together: one row for each slice of a level's bitmap."""
+    held: dict[tuple[int, int], np.ndarray] = {}
+    for b in batches:
+        for level, part, low, bits in zip(*(b.column(c).to_pylist() for c in ("level", "slice", "low", "bits")), strict=True):
+            size = (1 << LEVELS[level][1]) // 8 // SLICES
+            into = held.setdefault((level, part), np.zeros(size, dtype=np.uint8))
+            into[low - part * size : low - part * size + len(bits)] |= np.frombuffer(bits, dtype=np.uint8)
+    for (level, part), bits in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([level], pa.int32()), pa.array([part], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["level", "slice", "bits"])
+
+
 def count_levels(texts: DataFrame, shingle: int, total: int) -> list[np.ndarray]:
     """A bitmap for each of LEVELS over the leading bits of a shingle's hash; their size does not depend on the data."""
-    region_bits = min(15, max(6, (total >> 22).bit_length()))
+    region_bits = min(31, max(6, (total // REGION).bit_length()))
     counted = texts.select("t").mapInArrow(_region_rows(shingle, region_bits), "region int, keys binary, counts binary")
-    levels = counted.repartition("region").sortWithinPartitions("region").mapInArrow(_level_rows(region_bits), "region int, level int, bits binary")
+    levels = counted.repartition("region").sortWithinPartitions("region").mapInArrow(_level_rows(region_bits), "level int, slice int, low long, bits binary")
+    slices = levels.repartition("level", "slice").mapInArrow(T.lean(_slice_rows), "level int, slice int, bits binary")
     maps = [np.zeros((1 << bits) // 8, dtype=np.uint8) for _, bits in LEVELS]
-    for r in levels.collect():  # as large as the bitmaps
+    for r in slices.collect():  # as large as the bitmaps
         part = np.frombuffer(r["bits"], dtype=np.uint8)
-        maps[r["level"]][r["region"] * len(part) : (r["region"] + 1) * len(part)] = part
+        maps[r["level"]][r["slice"] * len(part) : (r["slice"] + 1) * len(part)] = part
     return maps
 
 
@@ -231,7 +260,7 @@ def _candidate_rows(shingle: int, similarity: int, maps) -> Callable:
                 sets = pa.array([token[first[i] : first[i + 1]].tobytes() for i in some], pa.binary())
                 counts = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * RANGES), pa.array(spread[some].astype(np.int32).ravel()))
                 own = np.where(absent[run.low + some], surrogates(token, first)[some], ids[run.low + some])
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n[some]), pa.array(own_only[some]), counts, sets, *lists], ["id", "n", "u", "c", "s", *(f"p{k}" for k in range(ORDERS))])
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(signatures(token, first)[0][some]), pa.array(n[some]), pa.array(own_only[some]), counts, sets, *lists], ["id", "s1", "n", "u", "c", "s", *(f"p{k}" for k in range(ORDERS))])
 
     return rows
 
@@ -274,35 +303,46 @@ def components(edges: DataFrame, name: str = "labels") -> DataFrame:
 class Join:
     """Candidate classes and their components so far."""
 
-    def __init__(self, candidates: DataFrame, reps: DataFrame, similarity: int):
+    def __init__(self, candidates: DataFrame, similarity: int):
         self.candidates, self.similarity = candidates, similarity
-        self.comps = kept(candidates.select("id").join(reps.select("id"), "id", "left_semi").distinct().select("id", F.col("id").alias("comp")), "comps")
+        self.comps = kept(candidates.select("id").distinct().select("id", F.col("id").alias("comp")), "comps")
 
     def postings(self, k: int) -> DataFrame:
-        known = self.candidates.join(self.comps, "id")
+        known = self.candidates.select("id", "n", "u", f"p{k}").join(self.comps, "id")
         return known.select("id", "n", "u", "comp", F.posexplode(f"p{k}").alias("pos", "token")).select("id", "n", "comp", "token", (F.col("n") - F.col("u") - F.col("pos")).alias("rest"))
 
-    def pairs(self, rows: DataFrame) -> DataFrame:
-        """Distinct pairs of (id, n, comp, rest) and (other, ..) of different components that can still link.
+    def apart(self, n: str = "n") -> Column:
+        """Whether two sets (or components, of which these are the least sizes) of different components can still link.
 
         ``rest`` is how many shingles of a set stand at this place of the order or behind it: the
         intersection of two sets whose first common shingle this is has no more."""
         most = F.least("rest", "other_rest")
-        apart = rows.where((F.col("comp") != F.col("other_comp")) & ((100 + self.similarity) * most >= self.similarity * (F.col("n") + F.col("other_n"))))
-        return apart.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+        return (F.col("comp") != F.col("other_comp")) & ((100 + self.similarity) * most >= self.similarity * (F.col(n) + F.col("other_" + n)))
 
-    def pivots(self, k: int) -> DataFrame:
-        rows = self.postings(k)
-        v = F.min(F.struct(F.xxhash64("id", "token").alias("h"), F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("comp").alias("other_comp"), F.col("rest").alias("other_rest"))).alias("v")
-        by = rows.groupBy("token").agg(v, F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token", "v.*")
-        return self.pairs(rows.join(by, "token"))
+    @staticmethod
+    def pairs(rows: DataFrame) -> DataFrame:
+        return rows.select(F.least("id", "other_id").alias("a"), F.greatest("id", "other_id").alias("b")).distinct()
 
-    def all_left(self) -> DataFrame:
+    def with_pivots(self, k: int) -> DataFrame:
+        """Each posting of order k with its shingle's pivot, where these are apart."""
+        rows = self.postings(k)
+        v = F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), *(F.col(c).alias("other_" + c) for c in ("id", "n", "comp", "rest")))).alias("v")
+        by = rows.groupBy("token").agg(v, F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token", "v.*").drop("h")
+        # written first: a join of two exchanges, in which a frequent shingle can be split
+        return rows.join(kept(by, "pivots"), "token").where(self.apart())
+
+    def members_apart(self) -> DataFrame:
+        """Postings of order 0 with all others of the same shingle that are apart.  Rows grow with the members of the
+        components that meet, not with the square of one component."""
         rows = self.postings(0)
-        mixed = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
-        rows = rows.join(mixed, "token", "left_semi")
-        other = rows.select("token", *(F.col(c).alias(d) for c, d in (("id", "other"), ("n", "other_n"), ("comp", "other_comp"), ("rest", "other_rest"))))
-        return self.pairs(rows.join(other, "token").where("id < other"))
+        here = rows.groupBy("token", "comp").agg(F.min("n").alias("n"), F.max("rest").alias("rest"))
+        mixed = here.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+        here = kept(here.join(mixed.select("token"), "token", "left_semi"), "here")
+        other = here.select("token", *(F.col(c).alias("other_" + c) for c in ("n", "comp", "rest")))
+        met = here.join(other, "token").where(self.apart() & (F.col("comp") < F.col("other_comp"))).select("token", "comp", "other_comp")
+        left = rows.join(kept(met, "met"), ["token", "comp"])
+        right = rows.select("token", *(F.col(c).alias("other_" + c) for c in ("id", "n", "comp", "rest")))
+        return left.join(right, ["token", "other_comp"]).where(self.apart())
 
     def link(self, pairs: DataFrame) -> None:
         """Keep pairs that share a prefix shingle under every order, compare their sets, and merge components.
@@ -342,12 +382,12 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: int = 75, id_col: st
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("v")
     winners = out.where("n > 0").groupBy("comp").agg(first).select("v.id", "v.h")
     winners = winners.union(out.where("n = 0").select("id", "h").distinct())
-    key = lambda c: (F.coalesce(c, F.lit(0)).alias("_i"), c.isNull().alias("_z"))
+    i, z, h = unused(docs.columns, "i", "z", "h")
+    key = lambda c: (F.coalesce(c, F.lit(0)).alias(i), c.isNull().alias(z))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    # the join and the removal of repeated rows share one partitioning, so texts are shuffled once
-    rows = docs.select("*", *key(F.col(id_col).cast("long")), F.xxhash64(text).alias("_h"))
-    rows = rows.join(winners.select(*key(F.col("id")), F.col("h").alias("_h")), ["_i", "_z", "_h"], "left_semi")
-    return rows.dropDuplicates(["_i", "_z", "_h"]).select(*docs.columns)
+    # repeated rows shrink in each task; their removal and the join share one partitioning, so texts are shuffled once
+    rows = docs.select("*", *key(F.col(id_col).cast("long")), F.xxhash64(text).alias(h)).dropDuplicates([i, z, h])
+    return rows.join(winners.select(*key(F.col("id")), F.col("h").alias(h)), [i, z, h], "left_semi").select(*docs.columns)
 
 
 def _grouped(docs: DataFrame, shingle: int, similarity: int, id_col: str, text_col: str) -> DataFrame:
@@ -361,11 +401,13 @@ def _grouped(docs: DataFrame, shingle: int, similarity: int, id_col: str, text_c
     maps = spark.sparkContext.broadcast(count_levels(texts, shingle, total))
     T.release()
     lists = ", ".join(f"p{k} array<bigint>" for k in range(ORDERS))
-    found = texts.mapInArrow(_candidate_rows(shingle, similarity, maps), f"id long, n long, u long, c array<int>, s binary, {lists}")
-    join = Join(kept(found, "candidates"), classes.select(F.col("class").alias("id")), similarity)
+    found = texts.mapInArrow(_candidate_rows(shingle, similarity, maps), f"id long, s1 long, n long, u long, c array<int>, s binary, {lists}")
+    # one row of each class; rows that are equal shrink in each task before the shuffle
+    found = found.dropDuplicates(["id", "s1"]).join(classes.select(F.col("class").alias("id"), "s1"), ["id", "s1"], "left_semi")
+    join = Join(kept(found, "candidates"), similarity)
     for k in range(ORDERS):
-        join.link(join.pivots(k))
-    join.link(join.all_left())
+        join.link(join.pairs(join.with_pivots(k)))
+    join.link(join.pairs(join.members_apart()))
     merged = join.comps.where("id != comp").select(F.col("id").alias("class"), "comp")
     known = classes.join(merged, "class", "left").select("s1", "s2", "n", "class", F.coalesce("comp", "class").alias("comp"))
     return signed.join(known, ["s1", "s2", "n"], "left").select("id", "h", "n", "class", "comp")

@@ -110,3 +110,60 @@ def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (90, 95)], "a long, b long")
     got = dict(tuple(r) for r in J.components(edges).collect())
     assert got == {**{i: 0 for i in range(41)}, 90: 90, 95: 90, 100: 90}
+
+
+def joined_rows(spark, m):
+    """Rows that the pivots and the last join make for m near copies and three texts that share shingles but don't link."""
+    rng = random.Random(m)
+    base = [f"b{i}" for i in range(300)]
+    rows = [(i, edited(base, 1 + i % 3, rng)) for i in range(m)]
+    rows += [(10_000 + i, " ".join(base[30 * i : 30 * i + 200] + [f"own{i}w{j}" for j in range(100)])) for i in range(3)]
+    counts, linked = [], []
+
+    class Counted(J.Join):
+        def with_pivots(self, k):
+            df = super().with_pivots(k)
+            counts.append(df.count())
+            return df
+
+        def members_apart(self):
+            df = super().members_apart()
+            counts.append(df.count())
+            return df
+
+        def link(self, pairs):
+            linked.append(pairs.count())
+            super().link(pairs)
+
+    was, J.Join = J.Join, Counted
+    try:
+        assert result(spark, rows) == brute(rows)
+    finally:
+        J.Join = was
+    return sum(counts), sum(linked)
+
+
+def test_rows_grow_with_the_group(spark):
+    one, two = joined_rows(spark, 150), joined_rows(spark, 300)
+    assert two[0] <= 2.6 * one[0] and two[1] <= 2.6 * one[1] and two[1] <= 12 * 300
+
+
+def test_regions_finer_than_bytes():
+    rng = np.random.default_rng(1)
+    hashes = np.unique(rng.integers(0, 1 << 63, 4000).astype(np.uint64) * np.uint64(2))
+    n = rng.integers(1, 20_000, len(hashes))
+    for region_bits in (6, 12, 20):
+        maps = [np.zeros((1 << bits) // 8, dtype=np.uint8) for _, bits in J.LEVELS]
+        region = hashes >> np.uint64(64 - region_bits)
+        for r in np.unique(region):
+            mine = region == r
+            key = (hashes[mine] >> np.uint64(32 - region_bits)).astype("<u4")
+            for level, low, bits in J.level_bits(int(r), region_bits, key, n[mine]):
+                maps[level][low : low + len(bits)] |= bits
+        assert (J.levels_of(hashes, maps) >= np.sum([n >= least for least, _ in J.LEVELS], axis=0)).all()
+        assert (J.levels_of(np.unique(rng.integers(0, 1 << 63, 4000).astype(np.uint64)), maps) > 0).mean() < 0.01
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 1, 2, 3), (2, "a b c d e f", 4, 5, 6)], "doc_id long, text string, i long, z long, H long")
+    assert [tuple(r) for r in J.keep_one(df).collect()] == [(1, "a b c d e f", 1, 2, 3)]
