@@ -17,10 +17,10 @@ between classes only; all of them count, none is sampled or capped:
    must share one under every other order too; counts by ranges of the hash bound the intersection
    once more.  Only then are their sets compared exactly.
    Only classes of different components so far are compared.  First, an order a round, each class meets
-   one pivot of every prefix shingle: of those that have the shingle the one whose hashed id is least, so
-   that a group of near copies shares few pivots.  Then come all pairs of classes that still lie in
-   different components: components that share a prefix shingle are paired first, and only the pairs of
-   components that can link are spread out to their members.
+   the pivots of every prefix shingle: of those that have the shingle the ones of least hashed id, so that
+   a group of near copies shares few pivots.  Then components that share a prefix shingle under every
+   order are paired: one pair of members for each two components while that merges any, then all members
+   of components that can still link.
 
 The number of links is not counted: that would need all pairs of a group.
 
@@ -52,6 +52,8 @@ MERGED = 1 << 20
 REGION = 1 << 22
 #: Rows that the bitmaps come to the driver in, for each level.
 SLICES = 64
+#: Of each shingle in a round.
+PIVOTS = 3
 SHORT = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -324,28 +326,55 @@ class Join:
         return rows.select(F.least("id", "other_id").alias("a"), F.greatest("id", "other_id").alias("b")).distinct()
 
     def with_pivots(self, k: int) -> DataFrame:
-        """Each posting of order k with its shingle's pivot, where these are apart."""
-        rows = self.postings(k)
-        v = F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), *(F.col(c).alias("other_" + c) for c in ("id", "n", "comp", "rest")))).alias("v")
-        by = rows.groupBy("token").agg(v, F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token", "v.*").drop("h")
+        """Each posting of a round's order with its shingle's pivots, where these are apart."""
+        rows = self.postings(k % ORDERS)
+        side = F.struct(*(F.col(c).alias("other_" + c) for c in ("id", "n", "comp", "rest")))
+        least = [F.min(F.struct(F.xxhash64("id", F.lit(k * PIVOTS + i)), side.alias("v"))).alias(f"v{i}") for i in range(PIVOTS)]
+        by = rows.groupBy("token").agg(*least, F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+        by = by.select("token", F.explode(F.array_distinct(F.array(*(f"v{i}.v" for i in range(PIVOTS))))).alias("v")).select("token", "v.*")
         # written first: a join of two exchanges, in which a frequent shingle can be split
         return rows.join(kept(by, "pivots"), "token").where(self.apart())
 
-    def members_apart(self) -> DataFrame:
-        """Postings of order 0 with all others of the same shingle that are apart.  Rows grow with the members of the
-        components that meet, not with the square of one component."""
-        rows = self.postings(0)
-        here = rows.groupBy("token", "comp").agg(F.min("n").alias("n"), F.max("rest").alias("rest"))
+    def met(self, k: int) -> DataFrame:
+        """token, comp, other_comp: components that share a prefix shingle of an order and can still link there; id, other_id: a member of each."""
+        one = F.min(F.struct(F.xxhash64("id", F.lit(k)), "id"))["id"].alias("id")
+        here = self.postings(k).groupBy("token", "comp").agg(F.min("n").alias("n"), F.max("rest").alias("rest"), one)
         mixed = here.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
         here = kept(here.join(mixed.select("token"), "token", "left_semi"), "here")
-        other = here.select("token", *(F.col(c).alias("other_" + c) for c in ("n", "comp", "rest")))
-        met = here.join(other, "token").where(self.apart() & (F.col("comp") < F.col("other_comp"))).select("token", "comp", "other_comp")
-        left = rows.join(kept(met, "met"), ["token", "comp"])
+        other = here.select("token", *(F.col(c).alias("other_" + c) for c in ("id", "n", "comp", "rest")))
+        return here.join(other, "token").where(self.apart() & (F.col("comp") < F.col("other_comp"))).select("token", "comp", "other_comp", "id", "other_id")
+
+    def met_everywhere(self) -> DataFrame:
+        """What met under order 0, of components that met under every order."""
+        first = kept(self.met(0), "met")
+        for k in range(1, ORDERS):
+            first = first.join(self.met(k).select("comp", "other_comp").distinct(), ["comp", "other_comp"], "left_semi")
+        return kept(first, "met")
+
+    def with_members(self, k: int) -> DataFrame:
+        """One pair of members of each two components that met."""
+        one = F.min(F.struct(F.xxhash64("token", F.lit(k)), "id", "other_id")).alias("v")
+        return self.met_everywhere().groupBy("comp", "other_comp").agg(one).select("v.id", "v.other_id")
+
+    def members_apart(self) -> DataFrame:
+        """Postings of order 0 with all others of the same shingle whose components met.  Rows grow with the members of
+        these, not with the square of one component."""
+        rows = self.postings(0)
+        left = rows.join(self.met_everywhere().select("token", "comp", "other_comp"), ["token", "comp"])
         right = rows.select("token", *(F.col(c).alias("other_" + c) for c in ("id", "n", "comp", "rest")))
         return left.join(right, ["token", "other_comp"]).where(self.apart())
 
-    def link(self, pairs: DataFrame) -> None:
-        """Keep pairs that share a prefix shingle under every order, compare their sets, and merge components.
+    def rounds(self, rows: Callable[[int], DataFrame], least: int, most: int) -> None:
+        """At least so many rounds, until one merges less than one of ``most`` components."""
+        k, left = 0, self.comps.count()
+        while left > 1:
+            merged = self.link(self.pairs(rows(k)))
+            k, left = k + 1, left - merged
+            if k >= least and most * merged < left:
+                break
+
+    def link(self, pairs: DataFrame) -> int:
+        """Keep pairs that share a prefix shingle under every order, compare their sets, and merge components: how many are gone.
 
         No intersection is larger than the sum over hash ranges of what either set has there that others may have."""
         names = [f"p{k}" for k in range(ORDERS)]
@@ -359,11 +388,12 @@ class Join:
         sets = lambda x: self.candidates.select(F.col("id").alias(x), F.col("s").alias("s" + x))
         links = kept(near.join(sets("a"), "a").join(sets("b"), "b").select("a", "b", "sa", "sb").mapInArrow(_link_rows(self.similarity), "a long, b long"), "links")
         if links.isEmpty():
-            return
+            return 0
         of = lambda x, y: self.comps.select(F.col("id").alias(x), F.col("comp").alias(y))
         edges = links.join(of("a", "ca"), "a").join(of("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a != b").distinct()
-        merged = components(edges).select(F.col("id").alias("comp"), F.col("comp").alias("to"))
+        merged = components(edges).where("id != comp").select(F.col("id").alias("comp"), F.col("comp").alias("to"))
         self.comps = kept(self.comps.join(merged, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")), "comps")
+        return merged.count()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -405,8 +435,8 @@ def _grouped(docs: DataFrame, shingle: int, similarity: int, id_col: str, text_c
     # one row of each class; rows that are equal shrink in each task before the shuffle
     found = found.dropDuplicates(["id", "s1"]).join(classes.select(F.col("class").alias("id"), "s1"), ["id", "s1"], "left_semi")
     join = Join(kept(found, "candidates"), similarity)
-    for k in range(ORDERS):
-        join.link(join.pairs(join.with_pivots(k)))
+    join.rounds(join.with_pivots, ORDERS, 128)
+    join.rounds(join.with_members, 1, 64)
     join.link(join.pairs(join.members_apart()))
     merged = join.comps.where("id != comp").select(F.col("id").alias("class"), "comp")
     known = classes.join(merged, "class", "left").select("s1", "s2", "n", "class", F.coalesce("comp", "class").alias("comp"))

@@ -133,7 +133,7 @@ def joined_rows(spark, m):
 
         def link(self, pairs):
             linked.append(pairs.count())
-            super().link(pairs)
+            return super().link(pairs)
 
     was, J.Join = J.Join, Counted
     try:
