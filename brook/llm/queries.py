@@ -24,7 +24,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find_spans(table(spark, sf_dir, "documents"), reach=None, everywhere=True).drop("a", "b", "all", "gone")
+    return pii.find_spans(table(spark, sf_dir, "documents"))
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,6 @@
 import hashlib
+import math
+import random
 import re
 
 from hypothesis import HealthCheck, given, settings
@@ -52,50 +54,118 @@ def test_base_random(spark, texts):
     assert [got[i] for i in range(len(texts))] == [brute(t)[0] for t in texts]
 
 
+def terms_of(text, spans):
+    for start, end in sorted(spans, reverse=True):
+        text = text[:start] + "\n" + text[end:]
+    return {w for w in re.findall(r"[^\W\d_](?:[^\W\d_]|['-])*", text.lower()) if len(w) >= 3}
+
+
+def classes(kind, value):
+    digits = re.sub("[^0-9]", "", value)
+    group = [value.lower().split("@")[-1], ".".join(value.split(".")[:2]), digits[:6], digits[:4]][kind]
+    return ("entity", kind, digits if kind >= 2 else value.lower()), ("group", kind, group), ("kind", kind), ("any",)
+
+
+def spans_of(text):
+    out = []
+    for x in filter(None, brute(text)[0].split(",")):
+        kind, start, end = x.split(":")
+        out.append((P.KINDS.index(kind), int(start), int(end)))
+    return out
+
+
+def told_by(texts, homes, support, chance, generalise, remove):
+    """Disclosing terms, plainly: {term: (share, removed)}.  homes: the one text in which a wider class counts an entity."""
+    n = len(texts)
+    by_class = {}
+    for t in texts:
+        for k, s, e in spans_of(t):
+            for c in classes(k, t[s:e]):
+                by_class.setdefault(c, {}).setdefault(t, set()).add(classes(k, t[s:e])[0])
+    out = {}
+    for c, held in by_class.items():
+        unit = lambda t: 1 if c[0] == "entity" else sum(homes[x] == t for x in held[t])  # noqa: B023, E731
+        n_class, n_units = sum(t in held for t in texts), sum(map(unit, held))
+        for w in set().union(*(terms_of(t, [x[1:] for x in spans_of(t)]) for t in held)):
+            mine = [t for t in held if w in terms_of(t, [x[1:] for x in spans_of(t)])]
+            together, units = sum(t in mine for t in texts), sum(map(unit, mine))
+            n_term = sum(w in terms_of(t, []) for t in texts)
+            expected = n_units * n_term / n
+            if n_units < support or units < support or units <= expected:
+                continue
+            ratio = units * math.log(units / expected) + ((n_units - units) * math.log((n_units - units) / (n_units - expected)) if units < n_units else 0)
+            share = math.log2(together * n / (n_term * n_class)) / max(math.log2(n / n_class), 1e-9)
+            if ratio >= -math.log(chance) and share >= generalise:
+                out[w] = max(out.get(w, 0), round(share, 9))
+    return {w: (x, x >= remove) for w, x in out.items()}
+
+
 def corpus():
     other = [f"plain words about nothing number{i} here today" for i in range(40)]
     told = [f"write to Ann Quimby via quimby@mail.example.com or {i} words{i}" for i in range(4)]
-    return [(i, t) for i, t in enumerate(other + told)] + [(90, None), (91, ""), (None, told[0]), (92, told[0]), (93, "Quimby alone, and via"), (94, "via plain via nothing")]
+    return [(i, t) for i, t in enumerate(other + told)] + [(90, None), (91, ""), (None, told[0]), (92, told[0]), (93, "Quimby alone, and here"), (94, "plain words nothing")]
+
+
+LOOSE = {"chance": 0.01}
+
+
+def test_terms_against_brute_force(spark):
+    rng = random.Random(4)
+    vocabulary = [f"{a}{b}" for a in ("alpha", "beta", "gam", "del") for b in ("x", "y'z", "q-r", "é")]
+    texts = []
+    for i in range(160):
+        words = [rng.choice(vocabulary) for _ in range(rng.randrange(1, 7))]
+        if i % 4 == 0:
+            words += ["signed", rng.choice(["mail", "dial"]), rng.choice([f"u{i % 9}@h{i % 3}.example.com", f"10.{i % 2}.3.{i}", "4111 1111 1111 1111", f"+1 (243) 555-{i:04d}"])]
+        texts.append(" ".join(words))
+    texts += texts[:12] + texts[:1] * 9
+    docs = P._keyed(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "id", "t")
+    hashes = {r.t: (r.a, r.b) for r in docs.collect()}
+    homes = {}
+    for t in set(texts):
+        for k, s, e in spans_of(t):
+            x = classes(k, t[s:e])[0]
+            homes[x] = min(homes.get(x, t), t, key=hashes.get)
+    names = {r.h: r.w for r in spark.createDataFrame([(w,) for w in set().union(*(terms_of(t, []) for t in texts))], "w string").select("w", P.F.xxhash64("w").alias("h")).collect()}
+    found = P._found(docs)
+    for options in ((3, 1e-9, 0.8, 0.97), (2, 0.01, 0.3, 0.6), (3, 0.5, 0.05, 0.5)):
+        got = {names[r.term]: (round(r.share, 9), r.removed) for r in P.disclosing_terms(found, docs, *options).collect()}
+        assert got == told_by(texts, homes, *options)
+        assert "signed" in got or options[2] > 0.5
 
 
 def test_terms(spark):
     rows = corpus()
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, a long")
-    got = P.find_spans(df).collect()
+    got = P.find_spans(df, **LOOSE).collect()
     assert len(got) == len(rows)
     by = {r.doc_id: r for r in got}
     text = dict(rows)[40]
     want = text.index("Quimby")
     assert f"term:{want}:{want + 6}" in by[40].spans.split(",") and "email" in by[40].spans
     assert by[92].spans == by[40].spans == by[None].spans
-    assert by[93].spans == by[94].spans == by[90].spans == by[0].spans == ""  # texts without the entity stay
+    assert by[93].spans == "term:0:6" and by[94].spans == by[90].spans == by[0].spans == ""
     for r in got:
         base, *counts = brute(dict(rows)[r.doc_id])
         assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest() and [r.n_email, r.n_ip, r.n_card, r.n_phone] == counts
         assert set(base.split(",")) - {""} <= set(r.spans.split(","))
     assert P.find_spans(df.limit(0)).collect() == []
+    assert sum(r.n_term for r in P.find_spans(df, chance=1e-30).collect()) == 0
 
 
 def test_sanitise(spark):
-    rows = corpus() + [(95, "call +1 (743) 555-3824, now"), (96, "x 4111 1111 1111 1111 y")]
-    df = spark.createDataFrame([(i, t, 1, "z") for i, t in rows], "doc_id long, text string, a long, spans string")
-    out = P.sanitise(df)
-    assert out.columns == df.columns and out.count() == len(rows)
-    got = {r.doc_id: r.text for r in out.collect()}
-    assert got[90] is None and got[91] == "" and got[0] == rows[0][1] and got[93] == "Quimby alone, and via"
-    assert got[96] == "x <CARD> y" and "<PHONE>" in got[95] and got[95].startswith("call ") and got[95].endswith(", now")
-    assert "Quimby" not in got[40] and "<EMAIL>" in got[40]
-
-
-def test_terms_of_whole_texts_everywhere(spark):
-    far = " plain words about nothing" * 10
-    told = [f"Quimby writes{far} to quimby@mail.example.com or {i} words{i}" for i in range(4)]
-    rows = [(i, t) for i, t in corpus() if i is not None and i < 40] + [(40 + i, t) for i, t in enumerate(told)] + [(93, "Quimby alone, here"), (94, "quimbys plain"), (95, told[0])]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    window, whole = ({r.doc_id: r for r in P.find_spans(df, **o).collect()} for o in ({}, {"reach": None, "everywhere": True}))
-    assert "term:0:6" not in window[40].spans and window[93].spans == ""
-    assert all(whole[i].spans.startswith("term:0:6") for i in (40, 43, 95)) and whole[93].spans == "term:0:6" and whole[94].spans == whole[0].spans == ""
-    for o, spans in (({"everywhere": True}, ""), ({"reach": None}, "")):
-        assert {r.doc_id: r.spans for r in P.find_spans(df, **o).collect()}[93] == spans
-    out = {r.doc_id: r.text for r in P.sanitise(df, reach=None, everywhere=True).collect()}
-    assert "Quimby" not in out[93] and out[0] == rows[0][1] and len(out) == len(rows)
+    rows = corpus() + [(95, "call +1 (743) 555-3824, now"), (96, "x 4111 1111 1111 1111 y"), (97, "the quimby again")]
+    helpers = ["row", "t", "a", "b", "e", "p", "bucket", "marked", "all", "gone", "removed", "_ka", "_a", "spans"]
+    df = spark.createDataFrame([(i, t, *range(len(helpers))) for i, t in rows], "doc_id long, text string, " + ", ".join(f"{h} long" for h in helpers))
+    for options in (LOOSE, {"chance": 1e-30}):
+        out = P.sanitise(df, **options)
+        assert out.columns == df.columns and out.count() == len(rows)
+        done = out.collect()
+        assert all(tuple(r)[2:] == tuple(range(len(helpers))) for r in done)
+        got = {r.doc_id: r.text for r in done}
+        assert got[90] is None and got[91] == "" and got[0] == rows[0][1]
+        assert got[96] == "x <CARD> y" and "<PHONE>" in got[95] and got[95].startswith("call ") and got[95].endswith(", now")
+        assert "<EMAIL>" in got[40] and ("Quimby" in got[40]) == (options is not LOOSE)
+    assert {r.doc_id: r.text for r in P.sanitise(df, generalise=0.7, remove=2.0, chance=0.01).collect()}[93].startswith("<NAME> alone")
+    assert {r.doc_id: r.text for r in P.sanitise(df, generalise=0.7, remove=2.0, chance=0.01).collect()}[97] == "the <WORD> again"
+    assert {r.doc_id: r.text for r in P.sanitise(df, remove=0.8, chance=0.01).collect()}[93] == " alone, and here"
