@@ -1,9 +1,12 @@
 """Quality rules: a decision list learned from labelled text statistics, emitted as an ordered Spark conditional.
 
 The statistics are DataFrame expressions over one row each (no shuffle, no Python on the executors).
-Sequential covering on the driver sees at most ``sample`` labelled rows of a dozen numbers: it grows a
-conjunction of thresholds by FOIL gain on two thirds of them, prunes it on the rest, and goes on until
-a rule is no longer precise.  The list becomes ``CASE WHEN rule 1 THEN .. WHEN rule 2 THEN ..``.
+Sequential covering on the driver sees at most ``sample`` labelled rows of a dozen numbers, outside the
+held-out third.  For each next rule it grows, for either class, a conjunction of thresholds by FOIL gain
+on two thirds of the rows that no rule has covered, prunes it on the rest, and takes the one of better
+worth; the rows that it covers leave.  So a rule is only good behind those before it, and later ones may
+keep what an earlier rule of the other class would have rejected.  What no rule covers is kept or not as
+most of the rows left are.  The list becomes ``CASE WHEN rule 1 THEN .. WHEN rule 2 THEN .. ELSE ..``.
 
 Null text: no words, so the base rule fails it.  Without labels of both kinds the list is empty and
 only the base rule decides.  Repeated rows get equal results; null ids are allowed; other columns of
@@ -31,11 +34,22 @@ class Condition(NamedTuple):
     threshold: float
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+class Rule(NamedTuple):
+    conditions: list[Condition]
+    good: bool
+
+
+class DecisionList(NamedTuple):
+    rules: list[Rule]
+    otherwise: bool = True
+
+
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", as_long: bool = True) -> DataFrame:
     """doc_id, the counts of the contract and the inputs of the rules, one row per input row."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     bare = F.btrim(F.col("t"), F.lit(WS))
-    df = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t"))
+    own = F.col(id_col).cast("long") if as_long else F.col(id_col)
+    df = docs.select(own.alias("doc_id"), text.alias("t"))
     df = df.select("*", F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPLIT)).alias("w"), F.filter(F.split("t", "\n"), lambda x: F.btrim(x, F.lit(WS)) != "").alias("lines"))
     three = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
     df = df.select("*", F.when(F.size("w") >= 3, three).otherwise(F.array().cast("array<bigint>")).alias("grams"))
@@ -112,62 +126,93 @@ def _grow(x: np.ndarray, y: np.ndarray, most: int) -> list[Condition]:
     return rule
 
 
-def _prune(rule: list[Condition], x: np.ndarray, y: np.ndarray) -> list[Condition]:
-    def worth(r: list[Condition]) -> float:
-        c = _covers(r, x)
-        p = int(y[c].sum())
-        return (2 * p - int(c.sum()) - 1) / (int(c.sum()) + 1)
+def _worth(rule: list[Condition], x: np.ndarray, y: np.ndarray) -> float:
+    """How much more often a rule is right than wrong, small coverage discounted."""
+    c = _covers(rule, x)
+    return (2 * int(y[c].sum()) - int(c.sum()) - 1) / (int(c.sum()) + 1)
+
 
-    return max((rule[:k] for k in range(len(rule), 0, -1)), key=worth)
+def _prune(rule: list[Condition], x: np.ndarray, y: np.ndarray) -> list[Condition]:
+    return max((rule[:k] for k in range(len(rule), 0, -1)), key=lambda r: _worth(r, x, y))
 
 
-def learn(x: np.ndarray, bad: np.ndarray, precision: float = 0.9, least: int = 3, most_rules: int = 12, most_conditions: int = 4) -> list[list[Condition]]:
-    """Sequential covering of the bad rows (x: one column for each of FEATURES)."""
-    rules: list[list[Condition]] = []
+def learn(x: np.ndarray, bad: np.ndarray, precision: float = 0.9, least: int = 3, most_rules: int = 12, most_conditions: int = 4) -> DecisionList:
+    """Sequential covering of both classes (x: one column for each of FEATURES).  A rule must be right in ``precision`` of
+    what it covers, in the rows that it was grown on and in the others; without one the rest goes by its majority."""
     bad = bad.astype(bool)
+    if len(np.unique(bad)) < 2:
+        return DecisionList([])
+    rules: list[Rule] = []
     held = np.arange(len(bad)) % 3 == 2
     left = np.ones(len(bad), dtype=bool)
-    while len(rules) < most_rules and bad[left].sum() >= least:
+
+    def next_rule(y: np.ndarray) -> tuple[float, list[Condition]]:
         grow, prune = left & ~held, left & held
-        rule = _grow(x[grow], bad[grow], most_conditions)
+        rule = _grow(x[grow], y[grow], most_conditions)
         if not rule:
-            break
-        rule = _prune(rule, x[prune], bad[prune])
+            return -1.0, []
+        rule = _prune(rule, x[prune], y[prune])
         inside = _covers(rule, x) & left
-        if bad[inside].sum() < least or bad[inside].mean() < precision or (bad[inside & held].mean() if (inside & held).any() else 1.0) < precision:
+        right = [y[part].mean() for part in (inside, inside & held) if part.any()]
+        return (-1.0, []) if y[inside].sum() < least or min(right) < precision else (_worth(rule, x[prune], y[prune]), rule)
+
+    while len(rules) < most_rules and len(np.unique(bad[left])) == 2:
+        (w_bad, of_bad), (w_good, of_good) = next_rule(bad), next_rule(~bad)
+        if not of_bad and not of_good:
             break
+        rule = Rule(of_bad, False) if of_bad and (w_bad >= w_good or not of_good) else Rule(of_good, True)
         rules.append(rule)
+        left &= ~_covers(rule.conditions, x)
+    return DecisionList(rules, not left.any() or bad[left].mean() < 0.5)
+
+
+def decide(found: DecisionList, x: np.ndarray) -> np.ndarray:
+    """Which rows are good, as the emitted conditional says."""
+    good, left = np.full(len(x), found.otherwise), np.ones(len(x), dtype=bool)
+    for rule in found.rules:
+        inside = _covers(rule.conditions, x) & left
+        good[inside] = rule.good
         left &= ~inside
-    return rules
+    return good
+
+
+def held_out(c: Column) -> Column:
+    """The third of the rows whose labels are never learned."""
+    return F.coalesce(F.crc32(c.cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
 
+def learn_from(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 20_000, **options) -> DecisionList:
+    """A list from at most ``sample`` labelled rows that aren't held out, those of least hashed id; label 0 is bad.
 
-def learn_from(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 20_000, **options) -> list[list[Condition]]:
-    """Rules from at most ``sample`` labelled rows, those of least hashed id; label 0 is bad."""
-    chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_k")).agg(F.min(label_col).alias("_y"))
-    chosen = chosen.orderBy(F.xxhash64("_k"), "_k").limit(sample)
-    rows = docs.select(F.col(id_col).cast("long").alias("_k"), F.col(text_col).alias("_t")).join(chosen, "_k", "left_semi")
-    table = statistics(rows, "_k", "_t").join(chosen, F.col("doc_id") == F.col("_k"))
-    got = table.select("_k", "_y", *FEATURES).toPandas().sort_values(["_k", "n_words"])
-    return learn(got[FEATURES].to_numpy(float), got["_y"].to_numpy() == 0, **options) if len(got) else []
+    Their ids are bounded by ``sample`` and broadcast, so texts are read where they lie and only the numbers of the sample
+    move.  Where an id stands in many rows, those of least text hash count, at most ``sample`` in all."""
+    chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("k")).agg(F.min(label_col).alias("y"))
+    chosen = chosen.where(~held_out(F.col("k"))).orderBy(F.xxhash64("k"), "k").limit(sample)
+    rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t"))
+    known = rows.join(F.broadcast(chosen), "k").select(F.struct("k", "y", F.xxhash64("t").alias("h")).alias("id"), "t")
+    table = statistics(known, "id", "t", as_long=False).select("doc_id.*", *FEATURES)
+    got = table.orderBy(F.xxhash64("k"), "k", "h").limit(sample).toPandas()
+    return learn(got[FEATURES].to_numpy(float), got["y"].to_numpy() == 0, **options) if len(got) else DecisionList([])
 
 
 # ---------------------------------------------------------------- the operator
 
 
-def verdict(rules: list[list[Condition]]) -> Column:
-    """The number of the first rule that covers a row, from 1; 0 if none does."""
-    out = None
-    for k, rule in enumerate(rules, 1):
+def verdict(found: DecisionList) -> tuple[Column, Column]:
+    """The number of the first rule that covers a row, from 1 (0: none does), and whether the list keeps the row."""
+    number, good = F.lit(0), F.lit(found.otherwise)
+    for k, rule in reversed(list(enumerate(found.rules, 1))):
         inside = F.lit(True)
-        for c in rule:
+        for c in rule.conditions:
             inside &= F.col(c.feature) > c.threshold if c.above else F.col(c.feature) <= c.threshold
-        out = F.when(inside, k) if out is None else out.when(inside, k)
-    return F.lit(0) if out is None else out.otherwise(0)
+        number, good = F.when(inside, k).otherwise(number), F.when(inside, rule.good).otherwise(good)
+    return number, good
 
 
-def apply_rules(docs: DataFrame, rules: list[list[Condition]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: the counts, base_failed, kept, the rule that rejected it, and the rules' inputs."""
+def apply_rules(docs: DataFrame, found: DecisionList, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: the counts, base_failed, kept, the rule that decided (0: none), and the rules' inputs."""
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    df = statistics(docs, id_col, text_col).select("*", failed.alias("base_failed"), verdict(rules).cast("int").alias("rule"))
+    number, good = verdict(found)
+    df = statistics(docs, id_col, text_col).select("*", failed.alias("base_failed"), number.cast("int").alias("rule"), good.alias("good"))
     first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return df.select(*first, (~F.col("base_failed") & (F.col("rule") == 0)).alias("kept"), "rule", *[f for f in FEATURES if f not in first])
+    return df.select(*first, (~F.col("base_failed") & F.col("good")).alias("kept"), "rule", *[f for f in FEATURES if f not in first])

@@ -8,12 +8,13 @@ Plan, all counts in Spark and exact for every window:
 1. Each window has one *anchor*: the leftmost least hash among the short grams it holds.  Equal
    windows have equal anchors, so a window whose anchor stands at one place only cannot repeat.
    About two anchors per ``length - gram + 2`` words are counted, instead of every window.
-2. Windows whose anchor repeats are hashed (two independent 64-bit Rabin-Karp values) and counted.
+2. Windows whose anchor repeats are hashed (two independent Rabin-Karp values) and counted.
 3. A key counted once carries its own place (``bit_xor`` of one value is that value), so only the
    places of *single* keys travel back to their documents and no key's group is ever gathered.
    Frequent keys shrink in each task before the shuffle.
 
-Rows are told apart by (id, crc32 of the text); identical rows are copies of each other.
+A row's identity is 96 bits of two hashes over its id (null or not) and its whole text; a window's key is
+96 bits too, so that a chance collision among 10^13 windows has a probability below one in a thousand.  Identical rows are copies of each other: each of their windows is repeated.
 Null text: no words.  Null ids are allowed.  An empty table gives an empty result.
 """
 
@@ -34,17 +35,17 @@ from brook.llm import _text as T
 GRAM_SHARE = 0.45
 
 
-def _combined(keys: list[np.ndarray], ids: np.ndarray, places: np.ndarray) -> list[np.ndarray]:
-    """One row for each distinct key of the batch: keys, count, xor of ids, xor of places."""
+def _combined(keys: list[np.ndarray], *carried: np.ndarray) -> list[np.ndarray]:
+    """One row for each distinct key of the batch: keys, count, and the xor of each carried column (row identities, places)."""
     order = np.lexsort(keys[::-1])
     keys = [k[order] for k in keys]
     if not len(order):
-        return [*keys, np.zeros(0, np.int64), ids, places]
+        return [*keys, np.zeros(0, np.int64), *carried]
     new = np.ones(len(order), dtype=bool)
     new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
     at = np.flatnonzero(new)
     count = np.diff(np.append(at, len(order)))
-    return [*(k[at] for k in keys), count, np.bitwise_xor.reduceat(ids[order], at), np.bitwise_xor.reduceat(places[order], at)]
+    return [*(k[at] for k in keys), count, *(np.bitwise_xor.reduceat(c[order], at) for c in carried)]
 
 
 def _anchors(grams: np.ndarray, doc: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,15 +76,15 @@ def _anchor_rows(length: int, gram: int) -> Callable:
     @T.lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, crc = b.column("k").to_numpy(), b.column("c").to_numpy()
+            one, two = b.column("k").to_numpy(), b.column("c").to_numpy()
             for run in T.runs(b.column("t")):
                 w = T.words(run.data, run.offsets)
                 grams = T.window_hashes(T.word_hashes(run.data, w), gram)
                 ok, at = _anchors(grams, w.doc, length, gram)
                 at = np.unique(at[ok])
                 doc = w.doc[at]
-                out = _combined([grams[at].view(np.int64)], ids[run.low + doc], (crc[run.low + doc] << 32) | (at - w.first[doc]))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["a", "n", "k", "p"])
+                out = _combined([grams[at].view(np.int64)], one[run.low + doc], two[run.low + doc], (at - w.first[doc]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["a", "n", "k", "c", "p"])
 
     return rows
 
@@ -92,16 +93,16 @@ def _window_rows(length: int, gram: int) -> Callable:
     @T.lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, crc, singles = b.column("k").to_numpy(), b.column("c").to_numpy(), _lists(b.column("single"))
+            one, two, singles = b.column("k").to_numpy(), b.column("c").to_numpy(), _lists(b.column("single"))
             for run in T.runs(b.column("t")):
                 w = T.words(run.data, run.offsets)
                 h = T.word_hashes(run.data, w)
                 ok, at = _anchors(T.window_hashes(h, gram), w.doc, length, gram)
                 at = np.flatnonzero(ok & ~_marked(run, w, singles)[at])
                 doc = w.doc[at]
-                keys = [T.window_hashes(h, length, base)[at].view(np.int64) for base in (T.WINDOW_BASE, T.OTHER_BASE)]
-                out = _combined(keys, ids[run.low + doc], (crc[run.low + doc] << 32) | (at - w.first[doc]))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["a", "b", "n", "k", "p"])
+                keys = [T.window_hashes(h, length)[at].view(np.int64), (T.window_hashes(h, length, T.OTHER_BASE)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)]
+                out = _combined(keys, one[run.low + doc], two[run.low + doc], (at - w.first[doc]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["a", "b", "n", "k", "c", "p"])
 
     return rows
 
@@ -148,15 +149,17 @@ def remove_repeated_windows(docs: DataFrame, length: int = 35, id_col: str = "do
     """
     gram = max(1, round(length * GRAM_SHARE))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("k"), F.crc32(text.cast("binary")).alias("c"), text.alias("t"))
+    base = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("t"))
+    # hashes of a null are those of nothing, so its being null is hashed too
+    whole = [F.col("id").isNull(), F.col("id"), F.col("t")]
+    base = base.select("id", F.xxhash64(*whole).alias("k"), F.hash(*whole).alias("c"), "t")
 
     def places(counted: DataFrame, keys: list[str], name: str) -> DataFrame:
-        once = counted.groupBy(*keys).agg(F.sum("n").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("p").alias("p")).where("n = 1")
-        place = F.col("p").bitwiseAND(2**32 - 1).cast("int")
-        return once.select("k", F.shiftrightunsigned("p", 32).alias("c"), place.alias("at")).groupBy("k", "c").agg(F.collect_list("at").alias(name))
+        once = counted.groupBy(*keys).agg(F.sum("n").alias("n"), *(F.bit_xor(x).alias(x) for x in ("k", "c", "p"))).where("n = 1")
+        return once.groupBy("k", "c").agg(F.collect_list("p").alias(name))
 
-    single = places(base.select("k", "c", "t").mapInArrow(_anchor_rows(length, gram), "a long, n long, k long, p long"), ["a"], "single")
+    single = places(base.select("k", "c", "t").mapInArrow(_anchor_rows(length, gram), "a long, n long, k long, c int, p int"), ["a"], "single")
     known = base.join(single, ["k", "c"], "left")  # both readers take the same columns, so texts are shuffled once
-    alone = places(known.select("id", "k", "c", "t", "single").mapInArrow(_window_rows(length, gram), "a long, b long, n long, k long, p long"), ["a", "b"], "alone")
+    alone = places(known.select("id", "k", "c", "t", "single").mapInArrow(_window_rows(length, gram), "a long, b int, n long, k long, c int, p int"), ["a", "b"], "alone")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
     return known.join(alone, ["k", "c"], "left").select("id", "t", "single", "alone").mapInArrow(_removal_rows(length, gram, keep_text), schema)

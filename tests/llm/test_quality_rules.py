@@ -46,19 +46,47 @@ def test_learning(spark):
     x = rng.random((900, len(Q.FEATURES)))
     s, u = Q.FEATURES.index("symbol_share"), Q.FEATURES.index("upper_share")
     bad = (x[:, s] > 0.8) | (x[:, u] > 0.7) & (x[:, 0] < 0.4)
-    rules = Q.learn(x, bad)
-    hit = np.any([Q._covers(r, x) for r in rules], axis=0)
-    assert (hit == bad).mean() > 0.97 and 2 <= len(rules) <= 6
-    assert Q.learn(x, np.zeros(900)) == [] and Q.learn(x[:0], bad[:0]) == []
+    found = Q.learn(x, bad)
+    assert (Q.decide(found, x) == ~bad).mean() > 0.97 and 2 <= len(found.rules) <= 8
+    assert Q.learn(x, np.zeros(900)) == Q.DecisionList([]) == Q.learn(x[:0], bad[:0])
+
+
+def test_order_matters():
+    """Good rows inside a bad region: a list of both classes, wrong if its rules are taken in another order."""
+    rng = np.random.default_rng(1)
+    x = rng.random((3000, len(Q.FEATURES)))
+    s, u = Q.FEATURES.index("symbol_share"), Q.FEATURES.index("upper_share")
+    bad = (x[:, s] > 0.6) & ~((x[:, s] > 0.75) & (x[:, u] > 0.5))
+    found = Q.learn(x, bad)
+    assert {r.good for r in found.rules} == {True, False}
+    right = (Q.decide(found, x) == ~bad).mean()
+    turned = (Q.decide(Q.DecisionList(found.rules[::-1], found.otherwise), x) == ~bad).mean()
+    assert right > 0.97 and turned < right - 0.05
 
 
 def test_apply(spark):
     fine = " ".join(f"word{i}" for i in range(60))
     junk = " ".join(f"word{i}###" for i in range(60))
-    rows = [(1, fine), (2, junk), (3, "short"), (4, fine + " " + fine), (None, fine), (1, fine)]
+    loud = " ".join(f"WORD{i}###" for i in range(60))
+    rows = [(1, fine), (2, junk), (3, "short"), (4, fine + " " + fine), (None, fine), (1, fine), (5, loud)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    rules = [[Q.Condition("symbol_share", True, 1.0)]]
-    got = sorted(((r.doc_id, r.base_failed, r.kept, r.rule) for r in Q.apply_rules(df, rules).collect()), key=str)
-    assert got == sorted([(1, False, True, 0), (2, False, False, 1), (3, True, False, 0), (4, True, False, 0), (None, False, True, 0), (1, False, True, 0)], key=str)
+    found = Q.DecisionList([Q.Rule([Q.Condition("upper_share", True, 0.3)], True), Q.Rule([Q.Condition("symbol_share", True, 1.0)], False)])
+    got = sorted(((r.doc_id, r.base_failed, r.kept, r.rule) for r in Q.apply_rules(df, found).collect()), key=str)
+    assert got == sorted([(1, False, True, 0), (2, False, False, 2), (3, True, False, 0), (4, True, False, 0), (None, False, True, 0), (1, False, True, 0), (5, False, True, 1)], key=str)
     labels = spark.createDataFrame([(1, None)], "doc_id long, quality int")
-    assert Q.learn_from(df, labels) == [] and Q.learn_from(df, labels.limit(0)) == []
+    assert Q.learn_from(df, labels) == Q.DecisionList([]) == Q.learn_from(df, labels.limit(0))
+
+
+def test_learn_from(spark):
+    """The emitted conditional decides as the plain one does; held-out labels are not learned; no exchange of texts."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{rng.integers(900)}" + "#" * (2 * (i % 3 == 0)) for _ in range(60)) for i in range(240)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(7, texts[7], "x")] * 30, "doc_id long, text string, k string")
+    labels = spark.createDataFrame([(i, int(i % 3 != 0), 1.0) for i in range(240)], "doc_id long, quality int, y double")
+    found = Q.learn_from(df, labels)
+    got = Q.apply_rules(df, found)
+    table = got.select("doc_id", "kept", *Q.FEATURES).toPandas()
+    assert (table["kept"] == Q.decide(found, table[Q.FEATURES].to_numpy(float))).all()
+    assert (table["kept"] == (table["doc_id"] % 3 != 0)).mean() > 0.95
+    turned = labels.withColumn("quality", Q.F.when(Q.held_out(Q.F.col("doc_id")), 1 - Q.F.col("quality")).otherwise(Q.F.col("quality")))
+    assert Q.learn_from(df, turned) == found

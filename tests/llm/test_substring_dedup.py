@@ -1,5 +1,6 @@
 import hashlib
 import re
+import zlib
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -35,6 +36,38 @@ def test_edges(spark):
         assert result(spark, rows, length) == brute(rows, length)
 
 
+def crc_pairs(n):
+    """Pairs of different texts of one word and equal crc32, by search."""
+    seen, out = {}, []
+    for i in range(1_000_000):
+        t = f"w{i * 2654435761 % (1 << 32):x}"
+        c = zlib.crc32(t.encode())
+        if c in seen:
+            out.append((seen[c], t))
+        seen[c] = t
+        if len(out) == n:
+            return out
+    return out
+
+
+def test_null_ids_of_equal_crc(spark):
+    """Texts that a short hash can't tell apart, all without an id; one of each pair is repeated elsewhere."""
+    pairs = crc_pairs(20)
+    assert len(pairs) >= 10
+    tail = lambda k: " ".join(f"k{k}v{j}" for j in range(9))
+    # equal tails keep the crc32 of the whole texts equal
+    rows = [(None, f"{w} {tail(k)}") for k, pair in enumerate(pairs) for w in pair]
+    assert all(zlib.crc32(rows[2 * k][1].encode()) == zlib.crc32(rows[2 * k + 1][1].encode()) for k in range(len(pairs)))
+    rows += [(k, f"{tail(k)} {a}") for k, (a, _) in enumerate(pairs) if k % 2] + [(None, None), (None, ""), (-(2**63), rows[0][1])]
+    assert result(spark, rows, 9) == brute(rows, 9)
+    assert result(spark, rows, 10) == brute(rows, 10)
+
+
+def test_hot_rows(spark):
+    rows = [(None, "a b c d e f g h")] * 40 + [(i, "a b c d e f g h " + " ".join(f"x{i}y{j}" for j in range(12))) for i in range(20)] + [(5, "q " * 30)] * 20
+    assert result(spark, rows, 6) == brute(rows, 6)
+
+
 def test_empty(spark):
     assert result(spark, [], 35) == []
 
