@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brook.llm import _text as T
+from brook.llm._shared import unused
 
 GROWTH = 1.2  # of lengths within a group
 MOST_WALKS = 4096  # beyond this the parameters don't allow the recall
@@ -371,8 +372,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.2, s
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.2, samples: int = 4, recall: float = 0.98, least_words: int = 8, block_words: int = 1 << 20, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The input rows that hold no item, with all their columns as they are."""
-    out, names = docs, docs.columns
+    out, names, (t,) = docs, docs.columns, unused(docs.columns, "t")
     for plan in plans(benchmark, edit_share, samples, recall, least_words, block_words, item_col, item_text_col):
         shared = docs.sparkSession.sparkContext.broadcast(plan)
-        out = out.select("*", F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t")).mapInArrow(_clean_rows(shared, names), docs.schema)
+        out = out.select("*", F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(t)).mapInArrow(_clean_rows(shared, names), docs.schema)
     return out

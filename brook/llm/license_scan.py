@@ -5,8 +5,9 @@ Words are runs of digits, letters and everything beyond ASCII, with A-Z lower-ca
 finds every phrase at word edges in one pass over the words joined by single spaces.  The work is one
 map over the rows: no shuffle, memory of one Arrow batch and its longest text.
 
-Null or empty text: no words, nothing found, score 0.  Repeated rows are scanned alike.  A malformed
-expression gives the label ``spdx-malformed`` and no identifiers.  Extra columns are not looked at.
+Null or empty text: no words, nothing found, score 0.  Repeated rows are scanned alike.  A tag counts
+where a known identifier, or one of the text's own (``LicenseRef-..``), follows; an expression that begins so and is
+malformed gives the label ``spdx-malformed`` and no identifiers.  Extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -50,8 +51,19 @@ NOTICES = {
     "the unlicense": "unlicense",
 }
 TAG = "spdx license identifier"
-# Identifier families that ask for no more than a notice.
-PERMISSIVE = ("0bsd", "apache", "bsd", "bsl", "cc0", "cc-by-4", "cc-by-3", "isc", "mit", "unlicense", "zlib")
+# License identifiers that a tag may name, in lower case, by family; "+" may follow one.
+PERMISSIVE = (
+    "0bsd afl-3.0 apache-1.1 apache-2.0 artistic-2.0 blueoak-1.0.0 bsd-1-clause bsd-2-clause bsd-2-clause-patent bsd-3-clause bsd-3-clause-clear bsd-4-clause "
+    "bsl-1.0 cc0-1.0 cc-by-3.0 cc-by-4.0 curl ftl icu isc libpng mit mit-0 ms-pl ncsa openssl postgresql psf-2.0 python-2.0 unicode-3.0 unlicense upl-1.0 wtfpl x11 zlib zpl-2.1"
+).split()
+OTHER = (
+    "agpl-3.0 agpl-3.0-only agpl-3.0-or-later cc-by-nc-4.0 cc-by-nc-nd-4.0 cc-by-nc-sa-4.0 cc-by-nd-4.0 cc-by-sa-3.0 cc-by-sa-4.0 cddl-1.0 cddl-1.1 cecill-2.1 cpl-1.0 ecl-2.0 epl-1.0 epl-2.0 eupl-1.1 eupl-1.2 "
+    "gfdl-1.3-only gfdl-1.3-or-later gpl-1.0-only gpl-1.0-or-later gpl-2.0 gpl-2.0-only gpl-2.0-or-later gpl-3.0 gpl-3.0-only gpl-3.0-or-later lgpl-2.0-only lgpl-2.0-or-later lgpl-2.1 lgpl-2.1-only lgpl-2.1-or-later "
+    "lgpl-3.0 lgpl-3.0-only lgpl-3.0-or-later mpl-1.1 mpl-2.0 mpl-2.0-no-copyleft-exception ms-rl ofl-1.1 osl-3.0 qpl-1.0 rpl-1.5 sissl spl-1.0 vim"
+).split()
+# Exceptions that may stand behind "with".
+EXCEPTIONS = "autoconf-exception-3.0 bison-exception-2.2 bootloader-exception classpath-exception-2.0 font-exception-2.0 gcc-exception-2.0 gcc-exception-3.1 linux-syscall-note llvm-exception ocaml-lgpl-linking-exception openjdk-assembly-exception-1.0 qt-gpl-exception-1.0 u-boot-exception-2.0".split()
+OWN = re.compile(r"(?:documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+")
 # How much a base phrase, another notice and a tag with a valid expression speak for a license.
 WEIGHTS = {"base": 0.9, "notice": 0.6, "tag": 0.95}
 
@@ -59,6 +71,11 @@ FOLDED = bytes(b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if
 TAG_AT = re.compile(r"(?i)spdx[^a-z0-9]{1,3}license[^a-z0-9]{1,3}identifier[ \t]*:?")
 TOKEN = re.compile(r"[ \t]*([()]|[A-Za-z0-9][A-Za-z0-9.+:-]*)")
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
+LICENSES = frozenset(PERMISSIVE + OTHER)
+
+
+def is_license(word: str) -> bool:
+    return word.removesuffix("+") in LICENSES or OWN.fullmatch(word) is not None
 
 
 @lru_cache(maxsize=1)
@@ -77,28 +94,30 @@ def automaton():
 
 
 def parse_expression(text: str, at: int = 0) -> tuple[list[str], bool]:
-    """The longest expression that starts here as postfix tokens (shunting-yard), and whether it is well formed."""
+    """The longest expression that starts here as postfix tokens (shunting-yard), and whether it is well formed.
+
+    Operands are known identifiers or references of the text's own; behind "with", known exceptions.  An operator that
+    another word follows ends the expression before it, as in "MIT or any later version"."""
     out: list[str] = []
     waiting: list[str] = []
-    operand = True  # an operand comes next
+    operand, behind = True, ""  # an operand comes next, behind this operator
     while m := TOKEN.match(text, at):
-        token = m[1]
-        word = token.rstrip(".:").lower()
-        if operand and token == "(":
-            waiting.append(token)
-        elif operand and token != ")" and word not in PRECEDENCE:
+        word = m[1].rstrip(".:").lower()
+        if operand and word == "(" and behind != "with":
+            waiting.append(word)
+        elif operand and (word in EXCEPTIONS if behind == "with" else is_license(word)):
             out.append(word)
             operand = False
-        elif not operand and token == ")":
+        elif not operand and word == ")":
             if "(" not in waiting:
                 break
             while (top := waiting.pop()) != "(":
                 out.append(top)
-        elif not operand and word in PRECEDENCE:
+        elif not operand and word in PRECEDENCE and _goes_on(text, m.end(), word):
             while waiting and waiting[-1] != "(" and PRECEDENCE[waiting[-1]] >= PRECEDENCE[word]:
                 out.append(waiting.pop())
             waiting.append(word)
-            operand = True
+            operand, behind = True, word
         else:
             break
         at = m.end()
@@ -106,18 +125,33 @@ def parse_expression(text: str, at: int = 0) -> tuple[list[str], bool]:
     return out + waiting[::-1], well
 
 
+def _goes_on(text: str, at: int, operator: str) -> bool:
+    """Whether an operand, a parenthesis or the text's end follows: the last leaves the expression malformed."""
+    m = TOKEN.match(text, at)
+    word = m[1].rstrip(".:").lower() if m else ""
+    return not m or (word in EXCEPTIONS if operator == "with" else word == "(" or is_license(word))
+
+
 def evaluate(postfix: list[str]) -> tuple[set[str], bool]:
-    """Identifiers named by an expression, and whether it leaves a permissive choice (or: any, and: both, with: the license)."""
+    """Licenses named by an expression (no exceptions), and whether it leaves a permissive choice (or: any, and: both, with: the license)."""
     stack: list[tuple[set[str], bool]] = []
     for token in postfix:
         if token in PRECEDENCE:
             (right, b), (left, a) = stack.pop(), stack.pop()
-            stack.append((left | right, (a or b) if token == "or" else (a and b) if token == "and" else a))
+            stack.append((left, a) if token == "with" else (left | right, (a or b) if token == "or" else a and b))
         else:
-            stack.append(({token}, token.startswith(PERMISSIVE)))
+            stack.append(({token}, token.removesuffix("+") in PERMISSIVE))
     return stack[0]
 
 
+def names_something(text: str, at: int) -> bool:
+    """Whether what stands behind a tag begins as an expression does, well formed or not."""
+    m = TOKEN.match(text, at)
+    while m and m[1] == "(":
+        m = TOKEN.match(text, m.end())
+    return m is not None and is_license(m[1].rstrip(".:").lower())
+
+
 def scan(text: str) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels, score, permissive (null without a tag)."""
     words = text.encode("utf-8", "replace").translate(FOLDED).split()
@@ -147,7 +181,7 @@ def scan(text: str) -> tuple:
                 own |= names
                 permissive = free if permissive is None else permissive and free
                 kinds.add("tag")
-            else:
+            elif names_something(text, m.end()):
                 own.add("spdx-malformed")
     missing = 1.0
     for kind in sorted(kinds):

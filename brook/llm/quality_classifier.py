@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brook.llm import _text as T
-from brook.llm._shared import kept
+from brook.llm._shared import kept, unused
 from brook.llm.toxicity import held_out
 
 CONTENT = ("words", "word_length", "upper", "digits", "symbols", "bangs", "pipes", "marks", "distinct_words", "distinct_lines", "words_a_line")
@@ -321,7 +321,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input rows that are kept, with all their columns as they are.  One map; rows are not matched by id."""
-    shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
+    shared, names, (inputs,) = docs.sparkSession.sparkContext.broadcast(model), docs.columns, unused(docs.columns, "inputs")
     side = ["id", "h", "t", "lang", "source", "n_chars"]
 
     @T.lean
@@ -335,5 +335,4 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str
             mask = pa.array(np.concatenate([*keep, np.zeros(0, dtype=bool)]))
             yield pa.RecordBatch.from_arrays([b.column(k).filter(mask) for k in range(len(names))], names)
 
-    return docs.select("*", F.struct(*_inputs(docs, id_col, text_col)).alias("_in")).mapInArrow(rows, docs.schema)
-
+    return docs.select("*", F.struct(*_inputs(docs, id_col, text_col)).alias(inputs)).mapInArrow(rows, docs.schema)

@@ -5,8 +5,8 @@ Sequential covering on the driver sees at most ``sample`` labelled rows of a doz
 held-out third.  For each next rule it grows, for either class, a conjunction of thresholds by FOIL gain
 on two thirds of the rows that no rule has covered, prunes it on the rest, and takes the one of better
 worth; the rows that it covers leave.  So a rule is only good behind those before it, and later ones may
-keep what an earlier rule of the other class would have rejected.  What no rule covers is kept or not as
-most of the rows left are.  The list becomes ``CASE WHEN rule 1 THEN .. WHEN rule 2 THEN .. ELSE ..``.
+keep what an earlier rule of the other class would have rejected.  What no rule covers is kept, unless the
+rows left are bad by the same measure as a rule must be.  The list becomes ``CASE WHEN rule 1 THEN .. WHEN rule 2 THEN .. ELSE ..``.
 
 Null text: no words, so the base rule fails it.  Without labels of both kinds the list is empty and
 only the base rule decides.  Repeated rows get equal results; null ids are allowed; other columns of
@@ -138,7 +138,7 @@ def _prune(rule: list[Condition], x: np.ndarray, y: np.ndarray) -> list[Conditio
 
 def learn(x: np.ndarray, bad: np.ndarray, precision: float = 0.9, least: int = 3, most_rules: int = 12, most_conditions: int = 4) -> DecisionList:
     """Sequential covering of both classes (x: one column for each of FEATURES).  A rule must be right in ``precision`` of
-    what it covers, in the rows that it was grown on and in the others; without one the rest goes by its majority."""
+    what it covers, in the rows that it was grown on and in the others."""
     bad = bad.astype(bool)
     if len(np.unique(bad)) < 2:
         return DecisionList([])
@@ -163,7 +163,7 @@ def learn(x: np.ndarray, bad: np.ndarray, precision: float = 0.9, least: int = 3
         rule = Rule(of_bad, False) if of_bad and (w_bad >= w_good or not of_good) else Rule(of_good, True)
         rules.append(rule)
         left &= ~_covers(rule.conditions, x)
-    return DecisionList(rules, not left.any() or bad[left].mean() < 0.5)
+    return DecisionList(rules, not (bad[left].sum() >= least and bad[left].mean() >= precision))
 
 
 def decide(found: DecisionList, x: np.ndarray) -> np.ndarray:

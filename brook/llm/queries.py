@@ -44,7 +44,8 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "warc")
     warc.write_archives(warc.plan_records(table(spark, sf_dir, "pages")), path)
-    return warc.read_archives(spark, path, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    responses = warc.read_archives(spark, path, wanted_headers={"WARC-Type": "response"})
+    return warc.verified(responses.unionByName(warc.read_archives(spark, path, payload=False, wanted_headers={"WARC-Type": "revisit"})))
 
 
 def tokenizer_paths() -> tuple[str, str]:

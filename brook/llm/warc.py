@@ -1,13 +1,15 @@
 """WARC archives as a Spark data source.
 
 Writing: every task writes one ``.warc.gz`` file, one gzip member a record, and the job's commit puts
-the names of the files that count into ``_manifest.json`` (files of lost or repeated tasks are ignored).
-Each member carries its compressed length in the "sl" extra field of the WARC annex.
+the names of the files that count into a manifest of its own, ``_manifest-<uuid>.json`` (files of lost or
+repeated tasks are ignored).  So appending adds to what is there; overwriting removes the manifests that
+it found, once its own is written.  Each member carries its compressed length in the "sl" extra field of
+the WARC annex.
 
-Reading: the manifest (or the folder's ``*.warc`` and ``*.warc.gz``) is planned into partitions of
+Reading: the manifests' files (or the folder's ``*.warc`` and ``*.warc.gz``) are planned into partitions of
 ``splitBytes`` each.  A record's headers are decoded first; filters on the record type and on headers
-are pushed down to them, and the rest of a record that is not wanted is skipped, not decoded.
-With the option ``payload`` = ``false`` no payload is decoded.
+(columns, or ``headers['name']`` by the option ``header.name`` = value) are tested there, and the rest of a
+record that is not wanted is skipped, not decoded.  With the option ``payload`` = ``false`` no payload is decoded.
 
 Paths: whatever ``pyarrow.fs.FileSystem.from_uri`` opens; a folder that all executors share.
 
@@ -30,6 +32,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
 
+from brook.llm._shared import kept
+
 READ_SCHEMA = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
 FIELDS = [x.split()[0] for x in READ_SCHEMA.split(", ")]
 ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("payload", pa.binary())])
@@ -187,22 +191,16 @@ class WarcReader(DataSourceReader):
         self.payload = options.get("payload", "true").lower() != "false"
         self.split_bytes = int(options.get("splitbytes", 64 << 20))
         self.wanted: dict[str, set] = {}
-
-    def pushFilters(self, filters):
-        for f in filters:
-            name = f.attribute[0] if isinstance(f, EqualTo | In) and len(f.attribute) == 1 else None
-            if name in FIELDS and name != "payload":
-                values = {f.value} if isinstance(f, EqualTo) else set(f.value)
-                self.wanted[name] = self.wanted.get(name, values) & values
-            else:
-                yield f
+        self.wanted_headers = {k.removeprefix("header."): v for k, v in options.items() if k.startswith("header.")}
 
     def partitions(self) -> list[Split]:
         fs, root = filesystem(self.path)
-        manifest = fs.get_file_info(f"{root}/_manifest.json")
-        if manifest.type != pafs.FileType.NotFound:
-            with fs.open_input_file(manifest.path) as f:
-                listed = json.loads(f.read())
+        said = manifests(fs, root)
+        if said:
+            listed = []
+            for path in said:
+                with fs.open_input_file(path) as f:
+                    listed += json.loads(f.read())
         else:
             found = [root] if fs.get_file_info(root).is_file else [x.path for x in fs.get_file_info(pafs.FileSelector(root)) if x.path.endswith((".warc", ".warc.gz"))]
             listed = [{"name": p.rpartition("/")[2], "marks": [0, fs.get_file_info(p).size]} for p in sorted(found)]
@@ -229,7 +227,7 @@ class WarcReader(DataSourceReader):
                 h = headers(head[:cut])
                 length = int(h["content-length"])
                 row = {"page_id": _number(h.get("warc-record-id")) if h.get("warc-record-id", "").startswith(PREFIX) else None, "url": h.get("warc-target-uri"), "record_type": h.get("warc-type"), "payload_digest": h.get("warc-payload-digest", "").removeprefix("sha1:") or None, "refers_to": _number(h.get("warc-refers-to"))}
-                if all(row[k] in v for k, v in self.wanted.items() if k in row):
+                if all(row[k] in v for k, v in self.wanted.items() if k in row) and all(h.get(k) == v for k, v in self.wanted_headers.items()):
                     http, at = {}, cut
                     if h.get("content-type", "").startswith("application/http"):
                         block = records.body(min(cut + length, cut + HEAD))
@@ -251,6 +249,26 @@ class WarcReader(DataSourceReader):
 # ---------------------------------------------------------------- writing
 
 
+class PushingReader(WarcReader):
+    """Spark hands its filters over only where the session has ``spark.sql.python.filterPushdown.enabled``, and refuses them elsewhere."""
+
+    def pushFilters(self, filters):
+        for f in filters:
+            name = f.attribute[0] if isinstance(f, EqualTo | In) and len(f.attribute) == 1 else None
+            if name in FIELDS and name != "payload":
+                values = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.wanted[name] = self.wanted.get(name, values) & values
+            else:
+                yield f
+
+
+def manifests(fs: pafs.FileSystem, root: str) -> list[str]:
+    info = fs.get_file_info(root)
+    if info.type != pafs.FileType.Directory:
+        return []
+    return sorted(x.path for x in fs.get_file_info(pafs.FileSelector(root)) if x.base_name.startswith("_manifest-") and x.base_name.endswith(".json"))
+
+
 @dataclass
 class Written(WriterCommitMessage):
     name: str
@@ -260,8 +278,8 @@ class Written(WriterCommitMessage):
 class WarcWriter(DataSourceArrowWriter):
     """Expects the columns page_id, url, payload, payload_bytes, sha1, record_type and refers_to."""
 
-    def __init__(self, options: dict):
-        self.path, self.level = options["path"], int(options.get("level", 1))
+    def __init__(self, options: dict, overwrite: bool = False):
+        self.path, self.level, self.overwrite = options["path"], int(options.get("level", 1)), overwrite
         self.mark_bytes = int(options.get("markbytes", 8 << 20))
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
@@ -283,8 +301,15 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list) -> None:
         fs, root = filesystem(self.path)
         fs.create_dir(root, recursive=True)
-        with fs.open_output_stream(f"{root}/_manifest.json") as f:
+        before = manifests(fs, root)
+        with fs.open_output_stream(f"{root}/_manifest-{uuid.uuid4().hex}.json") as f:
             f.write(json.dumps([{"name": m.name, "marks": m.marks} for m in messages if m and m.marks[-1]]).encode())
+        for path in before if self.overwrite else []:
+            with fs.open_input_file(path) as f:
+                gone = json.loads(f.read())
+            fs.delete_file(path)  # first: files without a manifest do no harm
+            for x in gone:
+                fs.delete_file(f"{root}/{x['name']}")
 
     def abort(self, messages: list) -> None:
         fs, root = filesystem(self.path)
@@ -302,10 +327,10 @@ class WarcDataSource(DataSource):
         return READ_SCHEMA
 
     def reader(self, schema) -> WarcReader:
-        return WarcReader(self.options)
+        return (PushingReader if self.options.get("pushdown", "false") == "true" else WarcReader)(self.options)
 
     def writer(self, schema, overwrite) -> WarcWriter:
-        return WarcWriter(self.options)
+        return WarcWriter(self.options, overwrite)
 
 
 # ---------------------------------------------------------------- operators
@@ -313,24 +338,40 @@ class WarcDataSource(DataSource):
 
 def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", least_bytes: int = 0) -> DataFrame:
     """One record per row.  Of equal payloads of at least ``least_bytes`` the largest id is the response, the others revisit it
-    (rows that repeat the largest id are all responses; where all ids are null too); smaller payloads are all responses."""
+    (rows that repeat the largest id are all responses; where all ids are null too); smaller payloads are all responses.
+
+    Equal payloads are found by their digests and sizes; groups of one, which most payloads are, don't take part in the join."""
     payload = F.encode(F.coalesce(F.col(body_col).cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("sha1"))
     first = rows.where(F.col("payload_bytes") >= least_bytes).groupBy(F.col("sha1").alias("same"), F.col("payload_bytes").alias("size")).agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n"))
-    first = first.where("n > 1").drop("n")
-    revisit = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
-    kinds = F.when(revisit, "revisit").otherwise("response")
+    first = kept(first.where("n > 1 and keeper is not null").drop("n"), "keepers")
     joined = rows.join(first, (F.col("sha1") == F.col("same")) & (F.col("payload_bytes") == F.col("size")), "left")
-    return joined.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "payload_bytes", "sha1", kinds.alias("record_type"), F.when(revisit, F.col("keeper")).alias("refers_to"))
+    revisit = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
+    return joined.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "payload_bytes", "sha1", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("keeper")).alias("refers_to"))
 
 
-def write_archives(records: DataFrame, path: str) -> None:
+def write_archives(records: DataFrame, path: str, mode: str = "append") -> None:
     records.sparkSession.dataSource.register(WarcDataSource)
-    records.write.format("warc").mode("append").option("path", path).save()
+    records.write.format("warc").mode(mode).option("path", path).save()
 
 
-def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, payload: bool = True, wanted_headers: dict[str, str] | None = None) -> DataFrame:
+    """Records of the archives whose headers have the wanted values.  The filters of a query are pushed down too where the
+    session has ``spark.sql.python.filterPushdown.enabled``; no setting is changed here."""
     spark.dataSource.register(WarcDataSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return spark.read.format("warc").option("path", path).option("payload", str(payload).lower()).load()
+    pushdown = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    reader = spark.read.format("warc").option("path", path).option("payload", str(payload).lower()).option("pushdown", pushdown)
+    for name, value in (wanted_headers or {}).items():
+        reader = reader.option(f"header.{name.lower()}", value)
+    return reader.load()
+
+
+def verified(records: DataFrame) -> DataFrame:
+    """Sizes and digests made anew from the payloads that were read; those of other records are their headers'."""
+    read = F.col("payload").isNotNull()
+    five = lambda i: F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), F.conv(F.substring("bits", 5 * i + 1, 5), 2, 10).cast("int") + 1, F.lit(1))
+    nibbles = F.transform(F.split(F.sha1("payload"), "(?<=.)(?=.)"), lambda c: F.lpad(F.conv(c, 16, 2), 4, "0"))
+    rows = records.select("*", F.when(read, F.array_join(nibbles, "")).alias("bits"))
+    digest = F.concat(*(five(i) for i in range(32)))
+    return rows.select("page_id", F.when(read, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"), F.when(read, digest).otherwise(F.col("payload_digest")).alias("payload_digest"), "record_type", "refers_to")

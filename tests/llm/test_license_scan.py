@@ -32,6 +32,17 @@ def test_expressions():
     assert L.evaluate(post("GPL-2.0 and MIT")[0])[1] is False
 
 
+def test_only_licenses_are_labels():
+    say = lambda t: L.scan("SPDX-License-Identifier: " + t)[5:]
+    assert say("see LICENSE file") == ("", 0.0, None)
+    assert say("MIT or any later version") == ("mit", 0.95, True)
+    assert say("GPL-2.0-only WITH Classpath-exception-2.0") == ("gpl-2.0-only", 0.95, False)
+    assert say("GPL-2.0-only WITH MIT")[0] == "gpl-2.0-only"
+    assert say("LicenseRef-Acme-1 AND mitsomething")[0] == "licenseref-acme-1" and say("Mitten")[0] == ""
+    assert say("Apache-2.0+ OR (GPL-3.0-or-later AND ISC)") == ("apache-2.0+,gpl-3.0-or-later,isc", 0.95, True)
+    assert say("(MIT AND") [0] == "spdx-malformed"
+
+
 def test_rows(spark):
     rows = [(1, None), (2, ""), (3, "# SPDX-License-Identifier: MIT OR GPL-2.0\nThe MIT License."), (4, "x " * 50_000 + "cc by-nc 4.0"), (3, "cc-by"), (None, "SPDX-License-Identifier: (MIT AND")]
     df = spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id long, text string, labels string")

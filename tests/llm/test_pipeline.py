@@ -74,3 +74,15 @@ def test_empty(spark, folder, tmp_path):
     for name in ("labels", "benchmark"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert C.run(spark, str(tmp_path)).collect() == []
+
+
+def test_clashing_columns(spark, folder):
+    """Each stage but the last leaves further columns as they are, also ones called as its helpers are."""
+    helpers = "_h _i _z _a _b _all _gone _ka _kb _t _in i z h t id inputs row bucket marked p e a b y k".split()
+    rows = [r for r in fixture()[0] if r[0] % 6 == 0 or r[0] >= 290]
+    docs = spark.createDataFrame([(*r, *(100 * (r[0] or 0) + j for j in range(len(helpers)))) for r in rows], COLUMNS + ", " + ", ".join(f"{x} long" for x in helpers))
+    for _, stage in C.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert got and all(tuple(r)[5:] == tuple(100 * r.doc_id + j for j in range(len(helpers))) for r in got)

@@ -2,6 +2,8 @@ import base64
 import gzip
 import hashlib
 
+import pytest
+
 from brook.llm import warc as W
 from brook.llm._shared import shared_folder
 
@@ -45,13 +47,51 @@ def test_empty(spark):
     assert back(spark, [])[1].collect() == []
 
 
-def test_pushdown_and_skipping(spark):
+def test_verified(spark):
+    for least in (0, 1000):
+        _, df = back(spark, ROWS, least)
+        assert key(W.verified(df)) == brute(ROWS, least)
+    wrong = df.withColumn("payload_digest", W.F.lit("X")).withColumn("payload_bytes", W.F.lit(1))
+    assert [r for r in key(W.verified(wrong)) if r[3] == "response"] == [r for r in brute(ROWS, 1000) if r[3] == "response"]
+
+
+def test_append_and_overwrite(spark):
+    path = shared_folder(spark, "warc")
+    write = lambda rows, mode: W.write_archives(W.plan_records(pages(spark, rows)), path, mode)
+    ids = lambda: sorted(r.page_id for r in W.read_archives(spark, path).collect())
+    write([(1, "u", "a"), (2, "u", "b")], "append")
+    write([(3, "u", "c")], "append")
+    write([], "append")
+    assert ids() == [1, 2, 3]
+    write([(4, "u", "d")], "overwrite")
+    assert ids() == [4]
+    write([(5, "u", "e")], "append")
+    assert ids() == [4, 5]
+
+
+@pytest.fixture
+def pushdown(spark):
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    yield
+    spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_header_predicates(spark, pushdown):
+    path, _ = back(spark, ROWS)
+    some = lambda **h: W.read_archives(spark, path, wanted_headers={k.replace("_", "-"): v for k, v in h.items()})
+    assert sorted(r.page_id for r in some(WARC_Target_URI="http://a/5").collect()) == [5, 5]
+    assert sorted(r.page_id for r in some(WARC_Type="revisit", WARC_Date=W.DATE).collect()) == [1, 2, 3]
+    assert some(Content_Type="text/plain").collect() == []
+    assert [r.page_id for r in some(WARC_Type="revisit").where("url = 'http://a/2'").collect()] == [2]
+
+
+def test_pushdown_and_skipping(spark, pushdown):
     path, df = back(spark, ROWS, payload=False)
     few = df.where("record_type = 'revisit'")
     assert sorted(r.page_id for r in few.collect()) == [1, 2, 3]
     assert "page_id = 5" in str(df.where("page_id = 5")._jdf.queryExecution()) and df.where("page_id = 5").count() == 2
     assert all(r.payload is None for r in df.collect())
-    reader = W.WarcReader({"path": path, "payload": "true", "splitbytes": "1"})
+    reader = W.PushingReader({"path": path, "payload": "true", "splitbytes": "1"})
     from pyspark.sql.datasource import EqualTo, GreaterThan
 
     assert [type(f) for f in reader.pushFilters([EqualTo(("record_type",), "response"), GreaterThan(("page_id",), 3)])] == [GreaterThan]
