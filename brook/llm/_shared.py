@@ -23,6 +23,13 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(table: DataFrame) -> None:
+    """Delete what ``kept`` wrote, once nothing reads it any more."""
+    spark, paths = table.sparkSession, {f.rpartition("/")[0] for f in table.inputFiles()}
+    for path in map(spark._jvm.org.apache.hadoop.fs.Path, paths):
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def unused(columns: list[str], *names: str) -> list[str]:
     """Names for helper columns that no column of the input has, in any case of letters."""
     taken, out = {c.lower() for c in columns}, []

@@ -19,8 +19,7 @@ between classes only; all of them count, none is sampled or capped:
    Only classes of different components so far are compared.  First, an order a round, each class meets
    the pivots of every prefix shingle: of those that have the shingle the ones of least hashed id, so that
    a group of near copies shares few pivots.  Then components that share a prefix shingle under every
-   order are paired: one pair of members for each two components while that merges any, then all members
-   of components that can still link.
+   order are paired: one pair of members for each two of them, then all members of those that are still apart.
 
 The number of links is not counted: that would need all pairs of a group.
 
@@ -40,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brook.llm import _text as T
-from brook.llm._shared import kept, unused
+from brook.llm._shared import forget, kept, unused
 
 ORDERS = 3
 #: Ranges of the hash for which a set says how many of its shingles others may have.
@@ -308,18 +307,24 @@ class Join:
     def __init__(self, candidates: DataFrame, similarity: int):
         self.candidates, self.similarity = candidates, similarity
         self.comps = kept(candidates.select("id").distinct().select("id", F.col("id").alias("comp")), "comps")
+        self.prefixes = [kept(self.shared(k), "prefixes") for k in range(ORDERS)]
 
-    def postings(self, k: int) -> DataFrame:
-        known = self.candidates.select("id", "n", "u", f"p{k}").join(self.comps, "id")
-        return known.select("id", "n", "u", "comp", F.posexplode(f"p{k}").alias("pos", "token")).select("id", "n", "comp", "token", (F.col("n") - F.col("u") - F.col("pos")).alias("rest"))
+    def shared(self, k: int) -> DataFrame:
+        """id, n, token, rest of the prefix shingles of an order that more than one candidate has."""
+        rows = self.candidates.select("id", "n", "u", F.posexplode(f"p{k}").alias("pos", "token")).select("id", "n", "token", (F.col("n") - F.col("u") - F.col("pos")).alias("rest"))
+        several = rows.groupBy("token").agg(F.count(F.lit(1)).alias("several")).where("several > 1").select("token")
+        return rows.join(several, "token", "left_semi").select("id", "n", "token", "rest")
 
-    def apart(self, n: str = "n") -> Column:
-        """Whether two sets (or components, of which these are the least sizes) of different components can still link.
+    def postings(self, k: int, comps: DataFrame | None = None) -> DataFrame:
+        return self.prefixes[k].join(self.comps if comps is None else comps, "id").select("id", "n", "comp", "token", "rest")
+
+    def apart(self) -> Column:
+        """Whether two sets (or components, whose least size and most ``rest`` these are) of different components can still link.
 
         ``rest`` is how many shingles of a set stand at this place of the order or behind it: the
         intersection of two sets whose first common shingle this is has no more."""
         most = F.least("rest", "other_rest")
-        return (F.col("comp") != F.col("other_comp")) & ((100 + self.similarity) * most >= self.similarity * (F.col(n) + F.col("other_" + n)))
+        return (F.col("comp") != F.col("other_comp")) & ((100 + self.similarity) * most >= self.similarity * (F.col("n") + F.col("other_n")))
 
     @staticmethod
     def pairs(rows: DataFrame) -> DataFrame:
@@ -336,13 +341,11 @@ class Join:
         return rows.join(kept(by, "pivots"), "token").where(self.apart())
 
     def met(self, k: int) -> DataFrame:
-        """token, comp, other_comp: components that share a prefix shingle of an order and can still link there; id, other_id: a member of each."""
+        """Components that share a prefix shingle of an order and can still link there; id, other_id: a member of each."""
         one = F.min(F.struct(F.xxhash64("id", F.lit(k)), "id"))["id"].alias("id")
-        here = self.postings(k).groupBy("token", "comp").agg(F.min("n").alias("n"), F.max("rest").alias("rest"), one)
-        mixed = here.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-        here = kept(here.join(mixed.select("token"), "token", "left_semi"), "here")
+        here = kept(self.postings(k).groupBy("token", "comp").agg(F.min("n").alias("n"), F.max("rest").alias("rest"), one), "here")
         other = here.select("token", *(F.col(c).alias("other_" + c) for c in ("id", "n", "comp", "rest")))
-        return here.join(other, "token").where(self.apart() & (F.col("comp") < F.col("other_comp"))).select("token", "comp", "other_comp", "id", "other_id")
+        return here.join(other, "token").where(self.apart() & (F.col("comp") < F.col("other_comp")))
 
     def met_everywhere(self) -> DataFrame:
         """What met under order 0, of components that met under every order."""
@@ -351,19 +354,33 @@ class Join:
             first = first.join(self.met(k).select("comp", "other_comp").distinct(), ["comp", "other_comp"], "left_semi")
         return kept(first, "met")
 
-    def with_members(self, k: int) -> DataFrame:
+    @staticmethod
+    def one_pair(met: DataFrame) -> DataFrame:
         """One pair of members of each two components that met."""
-        one = F.min(F.struct(F.xxhash64("token", F.lit(k)), "id", "other_id")).alias("v")
-        return self.met_everywhere().groupBy("comp", "other_comp").agg(one).select("v.id", "v.other_id")
-
-    def members_apart(self) -> DataFrame:
-        """Postings of order 0 with all others of the same shingle whose components met.  Rows grow with the members of
-        these, not with the square of one component."""
-        rows = self.postings(0)
-        left = rows.join(self.met_everywhere().select("token", "comp", "other_comp"), ["token", "comp"])
+        return met.groupBy("comp", "other_comp").agg(F.min(F.struct(F.xxhash64("token"), "id", "other_id")).alias("v")).select("v.id", "v.other_id")
+
+    def members_apart(self, met: DataFrame, comps: DataFrame) -> DataFrame:
+        """Postings of order 0 with all others of the same shingle whose components met (comps: those of then) and aren't one now.
+
+        Rows grow with the members of components that can link, not with the square of one component."""
+        now = lambda x, y: self.comps.select(F.col("id").alias(x), F.col("comp").alias(y))
+        met = met.join(now("id", "x"), "id").join(now("other_id", "y"), "other_id").where("x <> y")
+        met = kept(met.select("token", "comp", "other_comp", "other_n", "other_rest"), "met")
+        rows = self.postings(0, comps)
+        left = rows.join(met, ["token", "comp"]).where(self.apart()).drop("other_n", "other_rest")
         right = rows.select("token", *(F.col(c).alias("other_" + c) for c in ("id", "n", "comp", "rest")))
         return left.join(right, ["token", "other_comp"]).where(self.apart())
 
+    def run(self) -> DataFrame:
+        """id and comp of each candidate, when all links are found."""
+        self.rounds(self.with_pivots, ORDERS, 128)
+        comps, met = self.comps, self.met_everywhere()
+        self.link(self.pairs(self.one_pair(met)))
+        self.link(self.pairs(self.members_apart(met, comps)))
+        for table in (self.candidates, *self.prefixes, met):
+            forget(table)
+        return self.comps
+
     def rounds(self, rows: Callable[[int], DataFrame], least: int, most: int) -> None:
         """At least so many rounds, until one merges less than one of ``most`` components."""
         k, left = 0, self.comps.count()
@@ -379,7 +396,8 @@ class Join:
         No intersection is larger than the sum over hash ranges of what either set has there that others may have."""
         names = [f"p{k}" for k in range(ORDERS)]
         side = lambda x: self.candidates.select(F.col("id").alias(x), F.col("n").alias("n" + x), F.col("c").alias("c" + x), *(F.col(p).alias(p + x) for p in names))
-        near = pairs.join(side("a"), "a").join(side("b"), "b")
+        # written first: of few pairs Spark knows so, and doesn't move the candidates
+        near = kept(pairs, "pairs").join(side("a"), "a").join(side("b"), "b")
         most = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
         near = near.where((100 + self.similarity) * most >= self.similarity * (F.col("na") + F.col("nb")))
         for p in names:
@@ -435,9 +453,6 @@ def _grouped(docs: DataFrame, shingle: int, similarity: int, id_col: str, text_c
     # one row of each class; rows that are equal shrink in each task before the shuffle
     found = found.dropDuplicates(["id", "s1"]).join(classes.select(F.col("class").alias("id"), "s1"), ["id", "s1"], "left_semi")
     join = Join(kept(found, "candidates"), similarity)
-    join.rounds(join.with_pivots, ORDERS, 128)
-    join.rounds(join.with_members, 1, 64)
-    join.link(join.pairs(join.members_apart()))
-    merged = join.comps.where("id != comp").select(F.col("id").alias("class"), "comp")
+    merged = join.run().where("id != comp").select(F.col("id").alias("class"), "comp")
     known = classes.join(merged, "class", "left").select("s1", "s2", "n", "class", F.coalesce("comp", "class").alias("comp"))
     return signed.join(known, ["s1", "s2", "n"], "left").select("id", "h", "n", "class", "comp")

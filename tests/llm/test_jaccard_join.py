@@ -126,8 +126,8 @@ def joined_rows(spark, m):
             counts.append(df.count())
             return df
 
-        def members_apart(self):
-            df = super().members_apart()
+        def members_apart(self, *args):
+            df = super().members_apart(*args)
             counts.append(df.count())
             return df
 
