@@ -73,7 +73,8 @@ class Json:
     def decode(self, lines: DataFrame) -> DataFrame:
         r = F.from_json("value", self.SHAPE)
         keep = [c for c in lines.columns if c != "value"]
-        rows = lines.select(*keep, r.alias("r")).where(F.col("r.id").isNotNull() & F.col("r.created_at").isNotNull() & F.col("r.text").isNotNull() & F.col("r.user.screen_name").isNotNull())
+        # behind a generator, so that each line is parsed once and not for each filter and field
+        rows = lines.select(*keep, F.explode(F.array(r)).alias("r")).where(F.col("r.id").isNotNull() & F.col("r.created_at").isNotNull() & F.col("r.text").isNotNull() & F.col("r.user.screen_name").isNotNull())
         # "Wed Aug 27 13:08:45 +0000 2008": the day of the week follows from the rest
         moment = F.try_to_timestamp(F.regexp_replace("r.created_at", "^[A-Za-z]{3} ", ""), F.lit("MMM dd HH:mm:ss xx yyyy"))
         moment = F.coalesce(moment, F.try_to_timestamp("r.created_at"))

@@ -1,7 +1,7 @@
 """Streams, their indexes and their administration, on Structured Streaming and Parquet folders.
 
 Each micro-batch is written to a folder of its own number, by date, so that a repeated batch replaces
-itself.  Queries are batch reads.  An index is a second copy of the records by key or cell; it is built
+itself; ``compact`` gathers batches in one folder, which the catalog names.  Queries are batch reads.  An index is a second copy of the records by key or cell; it is built
 from all records so far, later batches are read beside it until ``refresh_index``, and so it never
 changes an answer.
 """
@@ -9,13 +9,16 @@ changes an answer.
 from __future__ import annotations
 
 import json
+import logging
 import re
+import threading
 import uuid
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
+from decimal import Decimal
 
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 from pyspark.sql.streaming import StreamingQuery
@@ -29,6 +32,8 @@ from brook.sources.pull import PullSource, files
 # Words that can't name an attribute.
 RESERVED = "activate and count create csv deactivate desc drop format from grid hash index on options or pause restart resume select show spatial stream time topk unshow where within".split()
 BUCKETS = 64
+ID = "decimal(38,0)"  # a batch's number and the place in it, side by side
+log = logging.getLogger("brook.streaming")
 NAME = re.compile(r"[a-z0-9]+")
 
 
@@ -52,13 +57,20 @@ class EngineConfig:
     answer_size: int = S.DEFAULT_K
     span: timedelta = DEFAULT_SPAN
     trigger: str = "1 second"
+    timeout: float = 30.0  # seconds that a statement may take
+
+    @classmethod
+    def of(cls, spark: SparkSession) -> EngineConfig:
+        """From the session's ``spark.brook.answerSize``, ``.spanMinutes``, ``.trigger`` and ``.timeoutSeconds``."""
+        said, d = lambda name, default: spark.conf.get(f"spark.brook.{name}", str(default)), cls()
+        return cls(int(said("answerSize", d.answer_size)), timedelta(minutes=float(said("spanMinutes", d.span / timedelta(minutes=1)))), said("trigger", d.trigger), float(said("timeoutSeconds", d.timeout)))
 
 
 class Engine:
     """Streams under one root folder; a new session finds those of the last."""
 
     def __init__(self, spark: SparkSession, root: str, config: EngineConfig | None = None):
-        self.spark, self.root, self.config = spark, root.rstrip("/"), config or EngineConfig()
+        self.spark, self.root, self.config = spark, root.rstrip("/"), config or EngineConfig.of(spark)
         self.queries: dict[str, StreamingQuery] = {}
         self.shown: set[str] = set()
         self.entries: dict[str, dict] = self._load()
@@ -121,6 +133,7 @@ class Engine:
         kind = {"pull": [source.host, source.port]} if isinstance(source, Pull) else {"lines": source.path}
         self.entries[name] = {"attributes": attributes, "fields": list(fields) if fields else None, "form": form, "source": kind, "timed": timed, "indexes": []}
         self._save()
+        log.info("stream %s is there, from %s", name, kind)
         if start:
             self.resume(name)
 
@@ -129,7 +142,7 @@ class Engine:
 
     def schema(self, stream: str) -> ST.StructType:
         kinds = ", ".join(f"`{a}` {spark_type(k)}" for a, k in self._entry(stream)["attributes"].items())
-        return ST.StructType.fromDDL(f"_id bigint, _ts timestamp, {kinds}, _batch bigint, _date date")
+        return ST.StructType.fromDDL(f"_id {ID}, _ts timestamp, {kinds}, _batch bigint, _date date")
 
     def decoder(self, stream: str) -> Csv | Json:
         e = self._entry(stream)
@@ -146,17 +159,21 @@ class Engine:
     def _write(self, stream: str, batch: DataFrame, number: int) -> None:
         """Lines without an id of their own get one from the batch and their place in it."""
         e = self._entry(stream)
-        own = F.lit(number) * (1 << 43) + F.monotonically_increasing_id()
-        rows = self.decoder(stream).decode(batch.withColumn("_id", F.coalesce("_id", own)))
+        rows = self.decoder(stream).decode(batch.withColumn("_id", F.coalesce(F.col("_id").cast(ID), own_ids(number))))
         ts = F.coalesce(F.col(e["timed"]), F.current_timestamp()) if e["timed"] else F.current_timestamp()
         rows = rows.select("_id", ts.alias("_ts"), *e["attributes"]).withColumn("_date", F.to_date("_ts"))
         rows.write.mode("overwrite").partitionBy("_date").parquet(f"{self._folder(stream, 'records')}/_batch={number}")
         if stream in self.shown:
-            print(f"{stream}: batch {number}, {batch.count()} records")
+            log.info("%s: batch %s, %s records", stream, number, batch.count())
+        else:
+            log.debug("%s: batch %s", stream, number)
 
     def records(self, stream: str) -> DataFrame:
-        """All records so far, in no order."""
-        return self._read(self._folder(stream, "records"), self.schema(stream))
+        """All records so far, in no order: what is compacted and the batches behind it."""
+        batches, made = self._read(self._folder(stream, "records"), self.schema(stream)), self._entry(stream).get("compacted")
+        if made is None:
+            return batches
+        return self._read(self._folder(stream, made["folder"]), self.schema(stream)).unionByName(batches.where(F.col("_batch") > made["upto"]))
 
     def _read(self, path: str, schema: ST.StructType) -> DataFrame:
         fs, root = files(path)
@@ -173,6 +190,7 @@ class Engine:
         writer = self._lines(stream).writeStream.queryName(f"{stream}-{uuid.uuid4().hex[:6]}").foreachBatch(lambda b, n: self._write(stream, b, n)).option("checkpointLocation", self._folder(stream, "checkpoint"))
         writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=self.config.trigger)
         self.queries[stream] = writer.start()
+        log.info("stream %s is taken in", stream)
         return self.queries[stream]
 
     restart = resume
@@ -185,6 +203,8 @@ class Engine:
     def status(self, stream: str) -> str:
         self._entry(stream)
         q = self.queries.get(stream.lower())
+        if q and not q.isActive and q.exception():
+            log.error("stream %s has failed: %s", stream, q.exception())
         return "paused" if q is None else "running" if q.isActive else "failed" if q.exception() else "paused"
 
     def progress(self, stream: str) -> dict:
@@ -196,7 +216,7 @@ class Engine:
         return {"last_batch": last["numInputRows"] if last else 0, "total": self.records(stream).count(), "indexes": sizes}
 
     def show(self, stream: str, on: bool = True) -> None:
-        """Print what each batch takes in, or stop to."""
+        """Log at level INFO what each batch takes in, or stop to."""
         self._entry(stream)
         (self.shown.add if on else self.shown.discard)(stream.lower())
 
@@ -208,6 +228,7 @@ class Engine:
         del self.entries[stream.lower()]
         self.queries.pop(stream.lower(), None)
         self._save()
+        log.info("stream %s is gone", stream)
 
     def desc(self, stream: str | None = None) -> DataFrame:
         """One row for each stream and index."""
@@ -222,8 +243,8 @@ class Engine:
 
     # ------------------------------------------------------------ indexes
 
-    def create_index(self, kind: str, index: str, stream: str, attribute: str, grid: geo.Grid | None = None) -> None:
-        """``hash`` by the keys of an attribute, or ``grid`` by the cells of a location; all records so far are in it."""
+    def create_index(self, kind: str, index: str, stream: str, attribute: str, grid: geo.Grid | None = None, buckets: int = BUCKETS) -> None:
+        """``hash`` by the keys of an attribute (in so many buckets), or ``grid`` by the cells of a location; all records so far are in it."""
         e, attribute = self._entry(stream), attribute.lower()
         index = self._new_name(index, [x["name"] for x in e["indexes"]])
         if attribute not in e["attributes"]:
@@ -234,8 +255,9 @@ class Engine:
             raise ValueError(f"{attribute!r} is not a location")
         g = grid or geo.Grid()
         g.box.check()
-        e["indexes"].append({"name": index, "kind": kind, "attribute": attribute, "grid": [list(g.box), g.rows, g.cols], "active": True, "upto": -1})
+        e["indexes"].append({"name": index, "kind": kind, "attribute": attribute, "grid": [list(g.box), g.rows, g.cols], "buckets": buckets, "active": True, "upto": -1})
         self._save()
+        log.info("%s index %s on %s of %s", kind, index, attribute, stream)
         self.refresh_index(stream, index)
 
     def refresh_index(self, stream: str, index: str) -> None:
@@ -247,10 +269,11 @@ class Engine:
         new = self.records(stream).where((F.col("_batch") > x["upto"]) & (F.col("_batch") <= last))
         a = F.col(x["attribute"])
         if x["kind"] == "hash":
-            where = F.explode(F.array_distinct(F.transform(values.keys(a, self._entry(stream)["attributes"][x["attribute"]].startswith("list<")), _bucket))).alias("_place")
+            where = F.explode(F.array_distinct(F.transform(values.keys(a, self._entry(stream)["attributes"][x["attribute"]].startswith("list<")), lambda key: _bucket(key, x["buckets"])))).alias("_place")
         else:
             where = F.explode(F.array_distinct(F.transform(F.coalesce(self._grid(x).cells(a), F.array(F.lit(-1))), lambda c: _row(c, self._grid(x))))).alias("_place")
-        new.select("*", where).repartition("_place").write.mode("append").partitionBy("_place").parquet(self._index_folder(stream, x))
+        # a place that many records have is written by many tasks, small places share one
+        new.select("*", where).hint("rebalance", "_place").write.mode("append").partitionBy("_place").parquet(self._index_folder(stream, x))
         x["upto"] = last
         self._save()
 
@@ -288,7 +311,7 @@ class Engine:
                 if x["kind"] == "hash" and isinstance(p, S.Equals) and not isinstance(p.value, tuple):
                     kind = spark_type(self._entry(stream)["attributes"][x["attribute"]]).removeprefix("array<").removesuffix(">")
                     value = p.value.lower() if isinstance(p.value, str) else p.value
-                    place = F.col("_place") == _bucket(F.lit(value).cast(kind).cast("string"))
+                    place = F.col("_place") == _bucket(F.lit(value).cast(kind).cast("string"), x["buckets"])
                 elif x["kind"] == "grid" and isinstance(p, S.Within):
                     grid = self._grid(x)
                     rows = sorted({-1 if low < 0 else low // grid.cols for low, _ in grid.ranges(p.box.check())})
@@ -309,27 +332,69 @@ class Engine:
         names = attributes if attributes is not None else list(self._entry(stream)["attributes"])
         return S.select(rows, names, where, time, self.config.answer_size if k is None else k)
 
-    def by_id(self, stream: str, _id: int) -> DataFrame:
-        return S.project(self.records(stream).where(F.col("_id") == _id))
+    def answer(self, rows: DataFrame, seconds: float | None = None) -> list:
+        """Rows of a statement's DataFrame, within the configured time; its jobs are cancelled when that is over."""
+        limit, sc, tag, late = self.config.timeout if seconds is None else seconds, self.spark.sparkContext, f"statement-{uuid.uuid4().hex}", threading.Event()
+
+        def stop() -> None:
+            late.set()
+            sc.cancelJobsWithTag(tag)
+
+        timer = threading.Timer(limit, stop)
+        sc.addJobTag(tag)
+        timer.start()
+        try:
+            return rows.collect()
+        except Exception as e:
+            if late.is_set():
+                log.warning("a statement took more than %s s", limit)
+                raise TimeoutError(f"a statement took more than {limit} s") from e
+            log.exception("a statement failed")
+            raise
+        finally:
+            timer.cancel()
+            sc.removeJobTag(tag)
+
+    def by_id(self, stream: str, _id: int | Decimal) -> DataFrame:
+        return S.project(self.records(stream).where(F.col("_id") == F.lit(Decimal(_id)).cast(ID)))
 
     def compact(self, stream: str) -> None:
-        """Many small batch folders into one; readers of the old ones should be done."""
-        rows, last = self.records(stream), self.records(stream).agg(F.max("_batch")).first()[0]
+        """Many small batch folders into one; readers of the old ones should be done.
+
+        The new folder counts from the moment that the catalog names it, the old ones go last: stopped anywhere, no record
+        is lost or there twice."""
+        e, rows = self._entry(stream), self.records(stream)
+        last = rows.agg(F.max("_batch")).first()[0]
         if last is None:
             return
-        path = self._folder(stream, "records")
-        rows.where(F.col("_batch") <= last).drop("_batch").repartition("_date").write.mode("overwrite").partitionBy("_date").parquet(f"{self._folder(stream, 'compacting')}")
-        fs, root = files(path)
-        _, made = files(self._folder(stream, "compacting"))
-        for info in fs.get_file_info(pafs.FileSelector(root)):
+        folder = f"compacted-{uuid.uuid4().hex}"
+        # dates with many records are written by many tasks
+        rows.where(F.col("_batch") <= last).hint("rebalance", "_date").write.partitionBy("_date").parquet(self._folder(stream, folder))
+        e["compacted"] = {"folder": folder, "upto": last}
+        self._save()
+        log.info("stream %s is compacted up to batch %s", stream, last)
+        self._drop_compacted(stream)
+
+    def _drop_compacted(self, stream: str) -> None:
+        """Batches and older folders whose records are in the folder that the catalog names."""
+        made = self._entry(stream)["compacted"]
+        fs, root = files(self._folder(stream, "records"))
+        for info in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
             name = info.base_name
-            if name.startswith("_batch=") and int(name.removeprefix("_batch=")) <= last:
+            if name.startswith("_batch=") and int(name.removeprefix("_batch=")) <= made["upto"]:
+                fs.delete_dir(info.path)
+        for info in fs.get_file_info(pafs.FileSelector(root.rpartition("/")[0], allow_not_found=True)):
+            if info.base_name.startswith("compacted-") and info.base_name != made["folder"]:
                 fs.delete_dir(info.path)
-        fs.move(made, f"{root}/_batch={last}")
 
 
-def _bucket(key):
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+def own_ids(number: int) -> Column:
+    """Of a batch's records: its number times 2**63 and the place in it; no two batches meet, and the numbers don't run out."""
+    return (F.lit(Decimal(number)).cast("decimal(19,0)") * F.lit(Decimal(1 << 63)).cast("decimal(19,0)") + F.monotonically_increasing_id().cast("decimal(19,0)")).cast(ID)
+
+
+def _bucket(key, buckets: int):
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
 def _row(cell, grid: geo.Grid):

@@ -141,3 +141,61 @@ def test_pull(spark, engine, tmp_path):
     finally:
         server.kill()
         server.stdout.close()
+
+
+def test_ids_of_many_partitions_and_batches(spark):
+    from brook.streaming.engine import own_ids
+
+    many = spark.range(0, 4000, 1, 2000).select(own_ids(1).alias("x")).union(spark.range(1).select(own_ids(2).alias("x")))
+    assert many.distinct().count() == 4001
+    last = [spark.range(3).coalesce(1).select(own_ids(n).alias("x")).collect() for n in ((1 << 20), (1 << 20) + 1, (1 << 62))]
+    assert [int(r.x) for r in last[0]] == [(1 << 83) + i for i in range(3)] and last[0][-1].x < last[1][0].x < last[2][0].x
+
+
+def test_compaction_that_stops_half_way(spark, engine, tmp_path, monkeypatch):
+    stream(engine, tmp_path, 0, 40)
+    feed(engine, tmp_path, 40, 60)
+    ids = lambda e: sorted(r.id for r in e.records("posts").collect())
+    monkeypatch.setattr(engine, "_save", lambda: 1 / 0)  # written, but the catalog doesn't name it
+    with pytest.raises(ZeroDivisionError):
+        engine.compact("posts")
+    monkeypatch.undo()
+    assert ids(Engine(spark, engine.root)) == list(range(60))
+    again = Engine(spark, engine.root)
+    monkeypatch.setattr(again, "_drop_compacted", lambda stream: 1 / 0)  # named, but the old folders are still there
+    with pytest.raises(ZeroDivisionError):
+        again.compact("posts")
+    assert ids(Engine(spark, engine.root)) == list(range(60))
+    last = Engine(spark, engine.root)
+    feed(last, tmp_path, 60, 70)
+    last.compact("posts")
+    assert ids(last) == list(range(70)) and len([x for x in os.listdir(f"{engine.root}/streams/posts") if x.startswith("compacted-")]) == 1
+    assert [x for x in os.listdir(f"{engine.root}/streams/posts/records") if x.startswith("_batch=")] == []
+
+
+def test_a_hot_keyword_is_written_by_many_tasks(spark, engine, tmp_path):
+    stream(engine, tmp_path, 0, 6000)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16k")
+    try:
+        engine.create_index("hash", "bykws", "posts", "kws", buckets=7)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    parts = [len([f for f in names if f.endswith(".parquet")]) for _, _, names in os.walk(f"{engine.root}/streams/posts/index/bykws")]
+    assert max(parts) > 1
+    assert len(engine.select("posts", ["id"], Equals("kws", "all"), Period(), 10_000).collect()) == 6000
+
+
+def test_a_statement_that_takes_too_long(spark, engine):
+    from pyspark.sql import functions as F
+
+    slow = spark.range(2).select(F.expr("java_method('java.lang.Thread', 'sleep', id * 0 + 4000L)"))
+    with pytest.raises(TimeoutError):
+        engine.answer(slow, 0.5)
+    assert [r.id for r in engine.answer(spark.range(3))] == [0, 1, 2]
+    spark.conf.set("spark.brook.timeoutSeconds", "7.5")
+    spark.conf.set("spark.brook.answerSize", "5")
+    try:
+        assert (EngineConfig.of(spark).timeout, EngineConfig.of(spark).answer_size) == (7.5, 5)
+    finally:
+        spark.conf.unset("spark.brook.timeoutSeconds")
+        spark.conf.unset("spark.brook.answerSize")
