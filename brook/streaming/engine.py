@@ -39,10 +39,11 @@ NAME = re.compile(r"[a-z0-9]+")
 
 @dataclass(frozen=True)
 class Pull:
-    """A server of the pull protocol."""
+    """A server of the pull protocol; ``connections`` tasks ask it at once, each on a connection of its own."""
 
     host: str
     port: int
+    connections: int = 1
 
 
 @dataclass(frozen=True)
@@ -130,7 +131,7 @@ class Engine:
         timed = timestamp_by.lower() if timestamp_by else "timestamp" if attributes.get("timestamp") == "timestamp" else None
         if timed and attributes.get(timed) != "timestamp":
             raise ValueError(f"{timed!r} is not an attribute of the type timestamp")
-        kind = {"pull": [source.host, source.port]} if isinstance(source, Pull) else {"lines": source.path}
+        kind = {"pull": [source.host, source.port, source.connections]} if isinstance(source, Pull) else {"lines": source.path}
         self.entries[name] = {"attributes": attributes, "fields": list(fields) if fields else None, "form": form, "source": kind, "timed": timed, "indexes": []}
         self._save()
         log.info("stream %s is there, from %s", name, kind)
@@ -152,13 +153,15 @@ class Engine:
         source = self._entry(stream)["source"]
         if "pull" in source:
             self.spark.dataSource.register(PullSource)
-            host, port = source["pull"]
-            return self.spark.readStream.format("pull").option("host", host).option("port", port).option("spool", self._folder(stream, "spool")).load()
+            host, port, connections = source["pull"]
+            return self.spark.readStream.format("pull").options(host=host, port=port, connections=connections, spool=self._folder(stream, "spool")).load()
         return self.spark.readStream.text(source["lines"]).select(F.lit(None).cast("long").alias("_id"), "value")
 
     def _write(self, stream: str, batch: DataFrame, number: int) -> None:
-        """Lines without an id of their own get one from the batch and their place in it."""
+        """Lines without an id of their own get one from the batch and their place in it.  A pull that gave nothing leaves no folder."""
         e = self._entry(stream)
+        if "pull" in e["source"] and batch.isEmpty():
+            return
         rows = self.decoder(stream).decode(batch.withColumn("_id", F.coalesce(F.col("_id").cast(ID), own_ids(number))))
         ts = F.coalesce(F.col(e["timed"]), F.current_timestamp()) if e["timed"] else F.current_timestamp()
         rows = rows.select("_id", ts.alias("_ts"), *e["attributes"]).withColumn("_date", F.to_date("_ts"))

@@ -143,6 +143,34 @@ def test_pull(spark, engine, tmp_path):
         server.stdout.close()
 
 
+def test_pull_reads_again_from_the_spool(tmp_path):
+    """Tasks fetch; what was spooled is given again as it was, and lines are numbered on from the last batch's file."""
+    from brook.sources.pull import Fetch, PullReader
+
+    (tmp_path / "lines").write_text("a\nb\u00e9\nc\nd\ne")
+    server = subprocess.Popen([sys.executable, f"{os.path.dirname(__file__)}/pull_server.py", tmp_path / "lines", "2,0,1,2"], stdout=subprocess.PIPE, text=True)
+    try:
+        options = {"host": "127.0.0.1", "port": server.stdout.readline().strip(), "spool": str(tmp_path / "spool"), "connections": "2"}
+        reader = PullReader(options)
+        assert reader.latestOffset() == {"next": 1} == reader.latestOffset()
+        assert [p.value for p in reader.partitions({"next": 0}, {"next": 1})] == [(0, 0), (1, 0)]
+        first = list(reader.read(Fetch(0, 0)))
+        assert first == [(0, "a"), (2, "b\u00e9")] == list(PullReader(options).read(Fetch(0, 0)))
+        assert list(reader.read(Fetch(1, 0))) == []
+        reader.commit({"next": 1})
+        assert PullReader(options).latestOffset() == {"next": 2}
+        assert list(reader.read(Fetch(0, 1))) == [(4, "c")]
+        reader.commit({"next": 2})
+        assert list(reader.read(Fetch(1, 1))) == [(1, "d"), (3, "e")] == list(reader.read(Fetch(1, 1)))
+        with pytest.raises(ValueError):
+            list(reader.read(Fetch(0, 0)))
+    finally:
+        server.kill()
+        server.stdout.close()
+    with pytest.raises(OSError):
+        list(reader.read(Fetch(0, 2)))
+
+
 def test_ids_of_many_partitions_and_batches(spark):
     from brook.streaming.engine import own_ids
 
