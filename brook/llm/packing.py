@@ -7,7 +7,8 @@
    lengths, longest first, each into the open bin for which the squared counts of open bins per
    residual gap become smallest (ties: the smaller gap); a new bin is opened only where no open one
    has room.  Beyond ``plan_items`` pieces one step places a length into ``unit`` bins at once; what is
-   left over is planned with a smaller unit, down to 1.  So the plan is bounded, and no piece is left.
+   left over is planned with a smaller unit, down to 1, into the same open bins.  So the plan is bounded, and
+   no piece is left.
 3. A piece's rank among all pieces of its length (task offsets plus local rank) finds its place in the
    plan, which is broadcast: at most ``plan_items`` rows for each unit.
 
@@ -99,10 +100,13 @@ def _piece_rows(tokenizer_path: str, ranks_path: str | None, capacity: int, end_
 # ---------------------------------------------------------------- the plan
 
 
-def place(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sum of squares over sizes in falling order, all below capacity: bin and offset of each, and how many bins."""
-    counts = np.zeros(capacity + 1, dtype=np.int64)
-    open_bins: list[list[int]] = [[] for _ in range(capacity + 1)]
+def place(sizes: np.ndarray, capacity: int, opened: list[list[list[int]]] | None = None, start: int = 0, step: int = 1) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sum of squares over sizes in falling order, all below capacity: bin and offset of each, and how many bins are new.
+
+    ``opened``: by residual gap, runs [bin, how many] of bins that lie ``step`` apart; it is kept up to date.
+    New bins are numbered from ``start``, ``step`` apart."""
+    opened = [[] for _ in range(capacity + 1)] if opened is None else opened
+    counts = np.array([sum(many for _, many in runs) for runs in opened], dtype=np.int64)
     bins, offsets, n = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64), 0
     far = np.int64(1) << 60
     for k, s in enumerate(sizes.tolist()):
@@ -113,14 +117,18 @@ def place(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int
         i = int(change.argmin()) if len(change) else 0
         if len(change) and change[i] < far:
             gap = s + i
-            b = open_bins[gap].pop()
+            run = opened[gap][-1]
+            run[1] -= 1
+            b = run[0] + run[1] * step
+            if not run[1]:
+                opened[gap].pop()
             counts[gap] -= 1
         else:
-            gap, b, n = capacity, n, n + 1
+            gap, b, n = capacity, start + n * step, n + 1
         bins[k], offsets[k] = b, capacity - gap
         if gap > s:
             counts[gap - s] += 1
-            open_bins[gap - s].append(b)
+            opened[gap - s].append([b, 1])
     return bins, offsets, n
 
 
@@ -142,16 +150,19 @@ def plan(histogram: dict[int, int], capacity: int, plan_items: int) -> dict[str,
     unit = 1
     while left.sum() // unit > plan_items:
         unit *= 2
+    opened: list[list[list[int]]] = [[] for _ in range(capacity + 1)]
     while left.any():
         each = left // unit
         sizes = np.repeat(np.arange(capacity, -1, -1), each[::-1])
-        bins, offsets, n = place(sizes, capacity)
+        bins, offsets, n = place(sizes, capacity, opened, total, unit)
         nth = np.arange(len(sizes)) - np.searchsorted(-sizes, -sizes)
-        add(sizes, done[sizes] + nth * unit, total + bins * unit, offsets)
+        add(sizes, done[sizes] + nth * unit, bins, offsets)
         total += n * unit
         done += each * unit
         left -= each * unit
-        unit = max(1, unit // 64)
+        finer = max(1, unit // 64)
+        opened = [[[b, many * (unit // finer)] for b, many in runs] for runs in opened]
+        unit = finer
     out = {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in runs.items()}
     order = np.lexsort((out["first"], out["length"]))
     return {k: v[order] for k, v in out.items()}
