@@ -161,11 +161,14 @@ def best_threshold(score: np.ndarray, y: np.ndarray) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, terms: int = 4096, factors: int = 4, epochs: int = 12, rate: float = 0.02, decay: float = 1e-5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine:
-    """A machine from at most ``sample`` labelled rows that aren't held out."""
+    """A machine from at most ``sample`` labelled rows that aren't held out, those of least hashed id.
+
+    Their ids are bounded by ``sample`` and broadcast.  Where an id stands in many rows, at most ``sample`` rows in all count."""
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(sample)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    got = texts.join(chosen, "id").mapInArrow(_term_rows, "id long, y int, terms binary").toPandas()
+    got = texts.join(F.broadcast(chosen), "id").mapInArrow(_term_rows, "id long, y int, terms binary")
+    got = got.orderBy(F.xxhash64("id"), "id", F.xxhash64("terms")).limit(sample).toPandas()
     size = 1 << BUCKET_BITS
     none = Machine(np.full(size, -1, dtype=np.int32), -40.0, np.zeros(1), np.zeros((1, factors)))
     if got.empty or got["y"].nunique() < 2:
