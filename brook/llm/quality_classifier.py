@@ -295,7 +295,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8_000, rounds: int =
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).cast("int").alias("y"))
     known = marks.where(~held_out("id")).orderBy(F.xxhash64("id"), "id").limit(sample)
     features = kept(docs.select(*_inputs(docs, id_col, text_col)).mapInArrow(_feature_rows, "id long, h boolean, x array<double>"), "features")
-    got = features.join(known, "id").select("id", "y", "x").toPandas()
+    # as many rows as ids at most, also where an id stands in many rows
+    got = features.join(F.broadcast(known), "id").select("id", "y", "x").orderBy(F.xxhash64("id"), "id", F.xxhash64("x")).limit(sample).toPandas()
     if not len(got):
         return Model([], np.zeros(0), np.zeros(0), np.zeros(0), np.zeros((2, 2)))
     x = np.stack(got["x"].to_list())
