@@ -337,11 +337,13 @@ class Engine:
 
     def answer(self, rows: DataFrame, seconds: float | None = None) -> list:
         """Rows of a statement's DataFrame, within the configured time; its jobs are cancelled when that is over."""
-        limit, sc, tag, late = self.config.timeout if seconds is None else seconds, self.spark.sparkContext, f"statement-{uuid.uuid4().hex}", threading.Event()
+        limit, sc, tag, late, done = self.config.timeout if seconds is None else seconds, self.spark.sparkContext, f"statement-{uuid.uuid4().hex}", threading.Event(), threading.Event()
 
         def stop() -> None:
             late.set()
             sc.cancelJobsWithTag(tag)
+            while not done.wait(0.2):  # a job may not have begun when the time is over
+                sc.cancelJobsWithTag(tag)
 
         timer = threading.Timer(limit, stop)
         sc.addJobTag(tag)
@@ -355,6 +357,7 @@ class Engine:
             log.exception("a statement failed")
             raise
         finally:
+            done.set()
             timer.cancel()
             sc.removeJobTag(tag)
 
