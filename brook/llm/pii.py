@@ -231,6 +231,12 @@ def find_spans(docs: DataFrame, support: int = 3, chance: float = 1e-9, generali
     return spans.select(F.col("id").alias("doc_id"), *counts, F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(F.col("all")).alias("spans"), "n_term", "n_removed")
 
 
+def find_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone and base_sha256 of ``find_spans``: what the patterns alone find."""
+    spans = base_spans(_keyed(docs, id_col, text_col)).select("id", F.col("e").alias("base"))
+    return spans.select(F.col("id").alias("doc_id"), *(_count(n) for n in range(4)), F.sha2(_written(F.col("base")), 256).alias("base_sha256"))
+
+
 def _cleaned(text: Column, spans: Column, removed: Column) -> Column:
     """The text with tags for its spans (start, kind, end, value, sorted); overlapping spans become one."""
     tags = F.array(*(F.lit(TAGS[k]) for k in KINDS))

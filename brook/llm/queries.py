@@ -69,7 +69,23 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(docs, rules)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_pii, op4_license_scan, op5_quality_classifier, op6_jaccard_join, op7_warc, op8_packing, op9_substring_dedup, op10_quality_rules)}
+# The parts of operators 3, 4 and 10 that SQL can express: what is there before anything is learned or parsed.
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_base(table(spark, sf_dir, "documents"))
+
+
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_rules.apply_rules(table(spark, sf_dir, "documents"), quality_rules.DecisionList([]))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_pii, op4_license_scan, op5_quality_classifier, op6_jaccard_join, op7_warc, op8_packing, op9_substring_dedup, op10_quality_rules, pii_base, license_base, quality_counts)}
 WORDS = r"list_filter(string_split_regex(coalesce({}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 FOLDED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -101,5 +117,48 @@ kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FRO
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM words LEFT JOIN kept USING (doc_id)
 """
 
+#: Kinds in their order: number, name, pattern, and what a match x must pass.
+PART = "0*([0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+DIGITS = "regexp_replace(x, '[^0-9]', '', 'g')"
+DIGIT = f"CAST(substr(reverse({DIGITS}), CAST(i + 1 AS BIGINT), 1) AS INTEGER)"
+LUHN = f"list_sum(list_transform(range(0, len({DIGITS})), lambda i: CASE WHEN i % 2 = 0 THEN {DIGIT} WHEN {DIGIT} > 4 THEN 2 * {DIGIT} - 9 ELSE 2 * {DIGIT} END)) % 10 = 0"
+BASE_KINDS = (
+    (0, "email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    (1, "ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", rf"regexp_full_match(x, '({PART}\.){{3}}{PART}')"),
+    (2, "card", r"[0-9](?:[\x20-]?[0-9])+", f"CASE WHEN len({DIGITS}) BETWEEN 12 AND 19 THEN {LUHN} ELSE false END"),
+    (3, "phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"len({DIGITS}) BETWEEN 9 AND 15"),
+)
+#: A match starts behind the gaps up to it (of a split by the same pattern) and the matches before it.
+PLACED = """list_filter(list_transform(range(1, len(m{0}) + 1), lambda j: {{'s': CAST(list_sum(list_transform(g{0}[1:j], lambda x: len(x))) + coalesce(list_sum(list_transform(m{0}[1:j - 1], lambda x: len(x))), 0) AS BIGINT),
+  'k': {0}, 'x': m{0}[j]}}), lambda r: list_transform([r.x], lambda x: {1})[1])"""
+PII = f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+matches AS MATERIALIZED (SELECT doc_id, {", ".join(f"regexp_extract_all(t, '{p}') AS m{n}, string_split_regex(t, '{p}') AS g{n}" for n, _, p, _ in BASE_KINDS)} FROM texts),
+placed AS MATERIALIZED (SELECT doc_id, {", ".join(f"{PLACED.format(n, check)} AS {name}" for n, name, _, check in BASE_KINDS)} FROM matches)
+SELECT doc_id, {", ".join(f"CAST(len({name}) AS BIGINT) AS n_{name}" for _, name, _, _ in BASE_KINDS)},
+  sha256(array_to_string(list_transform(list_sort({" || ".join(name for _, name, _, _ in BASE_KINDS)}), lambda r: ['email', 'ip', 'card', 'phone'][r.k + 1] || ':' || r.s || ':' || (r.s + len(r.x))), ',')) AS base_sha256
+FROM placed
+"""
+
+PHRASES = {"apache": ["apache", "license"], "cc-by": ["cc", "by"], "gpl": ["gnu", "general", "public", "license"], "mit": ["mit", "license"]}
+AT = "list_filter(range(0, len(w)), lambda i: w[i + 1:i + {}] = {}) AS \"{}\""
+LICENSE = f"""
+WITH words AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce({FOLDED}, ''), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+places AS MATERIALIZED (SELECT doc_id, w, {", ".join(AT.format(len(p), p, label) for label, p in PHRASES.items())} FROM words),
+found AS (SELECT *, {" || ".join(f'"{label}"' for label in PHRASES)} AS p FROM places)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(p) AS BIGINT) AS n_base, CAST(list_min(p) AS BIGINT) AS first_word, CAST(list_max(p) AS BIGINT) AS last_word,
+  concat_ws(',', {", ".join(f"""CASE WHEN len("{label}") > 0 THEN '{label}' END""" for label in PHRASES)}) AS base_labels
+FROM found
+"""
+
+QUALITY = f"""
+WITH words AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {WORDS.format('text')} AS w FROM documents),
+windows AS MATERIALIZED (SELECT r, i, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM words WHERE len(w) >= 3)),
+again AS (SELECT r, count(*) AS n FROM (SELECT DISTINCT r, unnest(range(i, i + 3)) AS p FROM windows SEMI JOIN (SELECT r, g FROM windows GROUP BY r, g HAVING count(*) > 1) USING (r, g)) GROUP BY r),
+counted AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM words LEFT JOIN again USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted
+"""
+
 #: The other operators learn, tokenise or parse, which SQL can't express; their tests compare with brute force.
-ORACLES: dict[str, str] = {"op6_jaccard_join": OP6, "op7_warc": OP7, "op9_substring_dedup": OP9}
+ORACLES: dict[str, str] = {"op6_jaccard_join": OP6, "op7_warc": OP7, "op9_substring_dedup": OP9, "pii_base": PII, "license_base": LICENSE, "quality_counts": QUALITY}

@@ -19,6 +19,9 @@ COLUMNS = {
     "op8_packing": "doc_id piece start length ids_crc32 sequence_id offset",
     "op9_substring_dedup": "doc_id n_words n_removed kept_sha256",
     "op10_quality_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
+    "pii_base": "doc_id n_email n_ip n_card n_phone base_sha256",
+    "license_base": "doc_id n_words n_base first_word last_word base_labels",
+    "quality_counts": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed",
 }
 
 
