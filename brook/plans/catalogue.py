@@ -6,6 +6,8 @@ made of both ids by arithmetic; ``documents`` has the keyword lists.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -18,6 +20,7 @@ from brook.operators import layout
 from brook.operators import select as S
 from brook.operators.select import Equals, Within
 from brook.sources.formats import Csv, Json
+from brook.streaming.engine import Engine, Lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -301,3 +304,53 @@ def show_values(spark, d):
 def tokenise(spark, d):
     df = spark.read.parquet(f"{d}/documents.parquet")
     return df.select("doc_id", F.size(values.tokens(F.col("text"))).cast("bigint").alias("n_tokens"), F.md5(values.fold(F.col("text")).cast("binary")).alias("folded"))
+
+
+# ---------------------------------------------------------------- streams and their indexes
+
+POSTS = {"id": "long", "mtime": "timestamp", "username": "string", "location": "geolocation", "kws": "list<string>"}
+
+
+def _posts(spark, d) -> Engine:
+    """An engine whose stream ``posts`` has taken in all events as lines: ids, times in milliseconds, users, points, types."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    root = f"{(root or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/engine-{uuid.uuid4().hex}"
+    e = events(spark, d)
+    line = F.concat_ws(",", F.col("event_id").cast("string"), F.unix_millis(F.col("ts").cast("timestamp")).cast("string"), F.concat(F.lit("User"), F.col("user_id").cast("string")), F.concat_ws(":", F.lit("2"), F.col("lat").cast("int").cast("string"), F.col("lng").cast("int").cast("string")), F.upper("event_type"), F.lit("All"))
+    e.select(line.alias("value")).write.text(f"{root}/lines")
+    engine = Engine(spark, root)
+    engine.create_stream("posts", POSTS, Lines(f"{root}/lines"), timestamp_by="mtime", start=False)
+    engine.resume("posts", available_now=True).awaitTermination()
+    return engine
+
+
+P = f"(SELECT event_id AS id, date_trunc('millisecond', ts) AS mtime, 'user' || CAST(user_id AS VARCHAR) AS username, lat, lng, event_type AS kind FROM {E})"
+IN_MTIME = IN_TIME.replace("ts", "mtime", 1)
+
+
+@query(f"SELECT * FROM {P}")
+def stream_ingest(spark, d):
+    rows = S.project(_posts(spark, d).records("posts"), ["id", "mtime", "username", "location", "kws"])
+    return rows.select("id", F.col("mtime").cast("timestamp_ntz").alias("mtime"), "username", F.col("location.n").alias("lat"), F.col("location.e").alias("lng"), F.get("kws", F.lit(0)).alias("kind"))
+
+
+@query(f"SELECT id, username FROM {P} WHERE kind = 'error' AND {IN_MTIME} ORDER BY mtime DESC LIMIT 100")
+def select_by_hash_index(spark, d):
+    engine = _posts(spark, d)
+    engine.create_index("hash", "bykws", "posts", "kws")
+    return engine.select("posts", ["id", "username"], Equals("kws", "ERROR"), JANUARY, 100)
+
+
+@query(f"SELECT id, lat, lng FROM {P} WHERE {IN_BOX} AND {IN_MTIME} ORDER BY mtime DESC LIMIT 100")
+def select_by_grid_index(spark, d):
+    engine = _posts(spark, d)
+    engine.create_index("grid", "world", "posts", "location", GRID)
+    rows = engine.select("posts", ["id", "location"], Within("location", BOX), JANUARY, 100)
+    return rows.select("id", F.col("location.n").alias("lat"), F.col("location.e").alias("lng"))
+
+
+@query(f"SELECT CAST(event_id AS VARCHAR) || ',' || event_type || ',(' || CAST(CAST(lat AS INTEGER) AS VARCHAR) || '.0,' || CAST(CAST(lng AS INTEGER) AS VARCHAR) || '.0)' AS value FROM {E}")
+def show_lines(spark, d):
+    return S.as_lines(S.project(events(spark, d), ["event_id", "event_type", "location"]))
