@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
-from brook.functions import geo
+from brook.functions import geo, periods
 from brook.functions.periods import Period
 
 DEFAULT_K = 20
@@ -50,7 +50,7 @@ def is_geo(kind: ST.DataType) -> bool:
 
 @dataclass(frozen=True)
 class Equals(Condition):
-    """attribute = value; for a list attribute: some element is the value."""
+    """attribute = value; for a list attribute: some element is the value, or all are those of a tuple, in order."""
 
     attribute: str
     value: object
@@ -62,8 +62,12 @@ class Equals(Condition):
                 return geo.within(c, self.value.check())
             return geo.same_point(c, *self.value)
         value = self.value.lower() if isinstance(self.value, str) else self.value
+        if isinstance(kind, ST.ArrayType) and isinstance(self.value, tuple):
+            return c == F.array(*(F.lit(x.lower() if isinstance(x, str) else x) for x in self.value)).cast(kind)
         if isinstance(kind, ST.ArrayType):
             return F.array_contains(c, F.lit(value).cast(kind.elementType))
+        if isinstance(value, datetime):
+            return c == periods.moment(value, kind.simpleString())
         return c == F.lit(value).cast(kind)
 
 

@@ -82,11 +82,10 @@ def eq_long(spark, d):
     return S.project(S.matching(events(spark, d), Equals("user_id", 7)), ["event_id", "user_id"])
 
 
-@query(f"SELECT event_id, ts FROM {E} WHERE ts = (SELECT max(ts) FROM events)")
+@query(f"SELECT event_id, date_trunc('hour', ts) AS hour FROM {E} WHERE date_trunc('hour', ts) = TIMESTAMP '2024-01-15 06:00:00'")
 def eq_timestamp(spark, d):
-    df = events(spark, d)
-    last = df.agg(F.max("ts").alias("last"))  # one row
-    return df.join(F.broadcast(last), F.col("ts") == F.col("last")).select("event_id", "ts")
+    df = events(spark, d).withColumn("hour", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
+    return S.project(S.matching(df, Equals("hour", datetime(2024, 1, 15, 6))), ["event_id", "hour"])
 
 
 @query(f"SELECT event_id FROM {E} WHERE abs(lat - 25) < 1e-6 AND abs(lng + 180) < 1e-6")
@@ -115,10 +114,10 @@ def keyword_contains(spark, d):
     return S.project(S.matching(documents(spark, d), Equals("keywords", "The")), ["doc_id"])
 
 
-@query("SELECT doc_id FROM documents WHERE string_split_regex(lower(text), '\\s+') = string_split_regex(lower(trim(text)), '\\s+')")
+@query(f"SELECT event_id FROM {E} WHERE event_type = 'click' AND user_id % 5 = 2")
 def list_equality(spark, d):
-    df = spark.read.parquet(f"{d}/documents.parquet")
-    return df.where(values.tokens(F.col("text")) == values.tokens(F.trim("text"))).select("doc_id")
+    df = events(spark, d).withColumn("pair", F.array("event_type", (F.col("user_id") % 5).cast("string")))
+    return S.project(S.matching(df, Equals("pair", ("Click", "2"))), ["event_id"])
 
 
 @query(f"SELECT event_id, event_type, user_id FROM {E} WHERE event_type = 'click' OR event_type = 'error' AND user_id = 7")
@@ -318,7 +317,7 @@ def _posts(spark, d) -> Engine:
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     root = f"{(root or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/engine-{uuid.uuid4().hex}"
     e = events(spark, d)
-    line = F.concat_ws(",", F.col("event_id").cast("string"), F.unix_millis(F.col("ts").cast("timestamp")).cast("string"), F.concat(F.lit("User"), F.col("user_id").cast("string")), F.concat_ws(":", F.lit("2"), F.col("lat").cast("int").cast("string"), F.col("lng").cast("int").cast("string")), F.upper("event_type"), F.lit("All"))
+    line = F.concat_ws(",", F.col("event_id").cast("string"), F.unix_millis(F.concat(F.col("ts").cast("string"), F.lit("+00:00")).cast("timestamp")).cast("string"), F.concat(F.lit("User"), F.col("user_id").cast("string")), F.concat_ws(":", F.lit("2"), F.col("lat").cast("int").cast("string"), F.col("lng").cast("int").cast("string")), F.upper("event_type"), F.lit("All"))
     e.select(line.alias("value")).write.text(f"{root}/lines")
     engine = Engine(spark, root)
     engine.create_stream("posts", POSTS, Lines(f"{root}/lines"), timestamp_by="mtime", start=False)
@@ -333,7 +332,7 @@ IN_MTIME = IN_TIME.replace("ts", "mtime", 1)
 @query(f"SELECT * FROM {P}")
 def stream_ingest(spark, d):
     rows = S.project(_posts(spark, d).records("posts"), ["id", "mtime", "username", "location", "kws"])
-    return rows.select("id", F.col("mtime").cast("timestamp_ntz").alias("mtime"), "username", F.col("location.n").alias("lat"), F.col("location.e").alias("lng"), F.get("kws", F.lit(0)).alias("kind"))
+    return rows.select("id", F.convert_timezone(None, F.lit("UTC"), F.col("mtime").cast("timestamp_ntz")).alias("mtime"), "username", F.col("location.n").alias("lat"), F.col("location.e").alias("lng"), F.get("kws", F.lit(0)).alias("kind"))
 
 
 @query(f"SELECT id, username FROM {P} WHERE kind = 'error' AND {IN_MTIME} ORDER BY mtime DESC LIMIT 100")

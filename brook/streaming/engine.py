@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 from pyspark.sql.streaming import StreamingQuery
 
-from brook.functions import geo, values
+from brook.functions import geo, periods, values
 from brook.functions.periods import DEFAULT_SPAN, Period
 from brook.operators import select as S
 from brook.sources.formats import Csv, Json, spark_type
@@ -313,8 +313,8 @@ class Engine:
                     continue
                 if x["kind"] == "hash" and isinstance(p, S.Equals) and not isinstance(p.value, tuple):
                     kind = spark_type(self._entry(stream)["attributes"][x["attribute"]]).removeprefix("array<").removesuffix(">")
-                    value = p.value.lower() if isinstance(p.value, str) else p.value
-                    place = F.col("_place") == _bucket(F.lit(value).cast(kind).cast("string"), x["buckets"])
+                    value = periods.moment(p.value, kind) if isinstance(p.value, datetime) else F.lit(p.value.lower() if isinstance(p.value, str) else p.value)
+                    place = F.col("_place") == _bucket(value.cast(kind).cast("string"), x["buckets"])
                 elif x["kind"] == "grid" and isinstance(p, S.Within):
                     grid = self._grid(x)
                     rows = sorted({-1 if low < 0 else low // grid.cols for low, _ in grid.ranges(p.box.check())})
