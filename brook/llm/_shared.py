@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +32,23 @@ def forget(table: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Inside, an action's shuffle files go when it ends, not when the driver happens to collect its garbage.
+
+    For steps that write what others read (``kept``).  If such a file were wanted again, Spark would make it anew."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if was is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, was)
+
+
 def unused(columns: list[str], *names: str) -> list[str]:
     """Names for helper columns that no column of the input has, in any case of letters."""
     taken, out = {c.lower() for c in columns}, []

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brook.llm import _text as T
-from brook.llm._shared import forget, kept, unused
+from brook.llm._shared import forget, kept, shuffles_removed, unused
 
 ORDERS = 3
 #: Ranges of the hash for which a set says how many of its shingles others may have.
@@ -53,6 +53,8 @@ REGION = 1 << 22
 SLICES = 64
 #: Of each shingle in a round.
 PIVOTS = 3
+#: Hashes of ids that a filter of candidates tells apart; no more rows are broadcast for it.
+FILTER = 1 << 20
 SHORT = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -302,11 +304,11 @@ def components(edges: DataFrame, name: str = "labels") -> DataFrame:
 
 
 class Join:
-    """Candidate classes and their components so far."""
+    """Candidate classes and their components so far: comps has those that are not their own component."""
 
     def __init__(self, candidates: DataFrame, similarity: int):
         self.candidates, self.similarity = candidates, similarity
-        self.comps = kept(candidates.select("id").distinct().select("id", F.col("id").alias("comp")), "comps")
+        self.comps = candidates.limit(0).select("id", F.col("id").alias("comp"))
         self.prefixes = [kept(self.shared(k), "prefixes") for k in range(ORDERS)]
 
     def shared(self, k: int) -> DataFrame:
@@ -316,7 +318,20 @@ class Join:
         return rows.join(several, "token", "left_semi").select("id", "n", "token", "rest")
 
     def postings(self, k: int, comps: DataFrame | None = None) -> DataFrame:
-        return self.prefixes[k].join(self.comps if comps is None else comps, "id").select("id", "n", "comp", "token", "rest")
+        return self.with_component(self.prefixes[k], "id", "comp", comps).select("id", "n", "comp", "token", "rest")
+
+    def with_component(self, rows: DataFrame, name: str, comp: str, comps: DataFrame | None = None) -> DataFrame:
+        """Rows with the component, so far or as comps has it, of the candidate in a column; few have merged, and the others join with nothing."""
+        merged = (self.comps if comps is None else comps).select(F.col("id").alias(name), F.col("comp").alias(comp))
+        return rows.join(merged, name, "left").withColumn(comp, F.coalesce(comp, name))
+
+    def members(self, pairs: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+        """Columns of the candidates a and b of pairs, and of a few others by chance: no other candidates are moved when they are joined."""
+        bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER))
+        those = F.broadcast(pairs.select(F.explode(F.array("a", "b")).alias("x")).select(bucket("x").alias("bucket")).distinct())
+        rows = self.candidates.join(those, bucket("id") == F.col("bucket"), "left_semi")
+        a, b = (rows.select(F.col("id").alias(x), *(F.col(c).alias(c + x) for c in columns)) for x in "ab")
+        return a, b
 
     def apart(self) -> Column:
         """Whether two sets (or components, whose least size and most ``rest`` these are) of different components can still link.
@@ -363,8 +378,7 @@ class Join:
         """Postings of order 0 with all others of the same shingle whose components met (comps: those of then) and aren't one now.
 
         Rows grow with the members of components that can link, not with the square of one component."""
-        now = lambda x, y: self.comps.select(F.col("id").alias(x), F.col("comp").alias(y))
-        met = met.join(now("id", "x"), "id").join(now("other_id", "y"), "other_id").where("x <> y")
+        met = self.with_component(self.with_component(met, "id", "x"), "other_id", "y").where("x <> y")
         met = kept(met.select("token", "comp", "other_comp", "other_n", "other_rest"), "met")
         rows = self.postings(0, comps)
         left = rows.join(met, ["token", "comp"]).where(self.apart()).drop("other_n", "other_rest")
@@ -372,7 +386,7 @@ class Join:
         return left.join(right, ["token", "other_comp"]).where(self.apart())
 
     def run(self) -> DataFrame:
-        """id and comp of each candidate, when all links are found."""
+        """id and comp of each candidate that is not its own component, when all links are found."""
         self.rounds(self.with_pivots, ORDERS, 128)
         comps, met = self.comps, self.met_everywhere()
         self.link(self.pairs(self.one_pair(met)))
@@ -383,7 +397,7 @@ class Join:
 
     def rounds(self, rows: Callable[[int], DataFrame], least: int, most: int) -> None:
         """At least so many rounds, until one merges less than one of ``most`` components."""
-        k, left = 0, self.comps.count()
+        k, left = 0, self.candidates.select("id").distinct().count()
         while left > 1:
             merged = self.link(self.pairs(rows(k)))
             k, left = k + 1, left - merged
@@ -395,22 +409,22 @@ class Join:
 
         No intersection is larger than the sum over hash ranges of what either set has there that others may have."""
         names = [f"p{k}" for k in range(ORDERS)]
-        side = lambda x: self.candidates.select(F.col("id").alias(x), F.col("n").alias("n" + x), F.col("c").alias("c" + x), *(F.col(p).alias(p + x) for p in names))
-        # written first: of few pairs Spark knows so, and doesn't move the candidates
-        near = kept(pairs, "pairs").join(side("a"), "a").join(side("b"), "b")
+        pairs = kept(pairs, "pairs")
+        a, b = self.members(pairs, ["n", "c", *names])
+        near = pairs.join(a, "a").join(b, "b")
         most = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
         near = near.where((100 + self.similarity) * most >= self.similarity * (F.col("na") + F.col("nb")))
         for p in names:
             near = near.where(F.arrays_overlap(p + "a", p + "b"))
         near = kept(near.select("a", "b"), "near")
-        sets = lambda x: self.candidates.select(F.col("id").alias(x), F.col("s").alias("s" + x))
-        links = kept(near.join(sets("a"), "a").join(sets("b"), "b").select("a", "b", "sa", "sb").mapInArrow(_link_rows(self.similarity), "a long, b long"), "links")
+        a, b = self.members(near, ["s"])
+        links = kept(near.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(_link_rows(self.similarity), "a long, b long"), "links")
         if links.isEmpty():
             return 0
-        of = lambda x, y: self.comps.select(F.col("id").alias(x), F.col("comp").alias(y))
-        edges = links.join(of("a", "ca"), "a").join(of("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a != b").distinct()
+        edges = self.with_component(self.with_component(links, "a", "ca"), "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a != b").distinct()
         merged = components(edges).where("id != comp").select(F.col("id").alias("comp"), F.col("comp").alias("to"))
-        self.comps = kept(self.comps.join(merged, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")), "comps")
+        before = self.comps.join(merged, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
+        self.comps = kept(before.union(merged.select("comp", "to")), "comps")
         return merged.count()
 
 
@@ -440,6 +454,11 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: int = 75, id_col: st
 
 def _grouped(docs: DataFrame, shingle: int, similarity: int, id_col: str, text_col: str) -> DataFrame:
     """id, h, n of each row, and the numbers of its class and component (NO_ID and more: no row has an id)."""
+    with shuffles_removed(docs.sparkSession):
+        return _grouped_rows(docs, shingle, similarity, id_col, text_col)
+
+
+def _grouped_rows(docs: DataFrame, shingle: int, similarity: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     signed = kept(texts.select("id", "t", F.xxhash64("t").alias("h")).mapInArrow(_signature_rows(shingle), "id long, h long, n long, s1 long, s2 long"), "signatures")
@@ -453,6 +472,6 @@ def _grouped(docs: DataFrame, shingle: int, similarity: int, id_col: str, text_c
     # one row of each class; rows that are equal shrink in each task before the shuffle
     found = found.dropDuplicates(["id", "s1"]).join(classes.select(F.col("class").alias("id"), "s1"), ["id", "s1"], "left_semi")
     join = Join(kept(found, "candidates"), similarity)
-    merged = join.run().where("id != comp").select(F.col("id").alias("class"), "comp")
+    merged = join.run().select(F.col("id").alias("class"), "comp")
     known = classes.join(merged, "class", "left").select("s1", "s2", "n", "class", F.coalesce("comp", "class").alias("comp"))
     return signed.join(known, ["s1", "s2", "n"], "left").select("id", "h", "n", "class", "comp")

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 from hypothesis import HealthCheck, given, settings
@@ -167,3 +168,31 @@ def test_regions_finer_than_bytes():
 def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b c d e f", 1, 2, 3), (2, "a b c d e f", 4, 5, 6)], "doc_id long, text string, i long, z long, H long")
     assert [tuple(r) for r in J.keep_one(df).collect()] == [(1, "a b c d e f", 1, 2, 3)]
+
+
+def test_shuffle_files_go_with_their_step(spark, monkeypatch):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f for f in files.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was, before, kept = spark.conf.get(name, None), shuffled(), J.kept
+
+    def step(df, name):
+        for _ in range(50):  # they are deleted in the background
+            if not shuffled() - before:
+                return kept(df, name)
+            time.sleep(0.1)
+        raise AssertionError(f"shuffle files of earlier steps at {name}")
+
+    monkeypatch.setattr(J, "kept", step)
+    base = [f"b{i}" for i in range(60)]
+    df = spark.createDataFrame([(i, " ".join(base[: 60 - i % 3]), 3, "x") for i in range(40)], SCHEMA)
+    assert J.near_duplicates(df).count() == 40
+    assert spark.conf.get(name, None) == was
+
+
+def test_links_move_members_only(spark):
+    """What is joined with the pairs is their own sets, those of the 5,000 other candidates stay."""
+    rows = spark.range(5000).selectExpr("id", "8L AS n", "0L AS u", "array_repeat(0, 64) AS c", "CAST(repeat('x', 64) AS binary) AS s", *(f"array(id) AS p{k}" for k in range(J.ORDERS)))
+    join = J.Join(rows, 75)
+    for side in join.members(spark.createDataFrame([(7, 9), (7, 4000)], "a long, b long"), ["s"]):
+        assert {7, 9, 4000} <= {r[0] for r in side.collect()} and side.count() < 60
